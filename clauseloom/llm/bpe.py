@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 
 WORD_BITS = 256
 #: Encoded pieces and pair ranks that a worker remembers at most, before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: So few matches are merged one by one.
 FEW = 50
 #: Characters of text that are encoded at once, but for one text at least.
-AT_ONCE = 24_000_000
+AT_ONCE = 6_000_000
 
 
 class BytePairEncoder:
@@ -52,16 +52,21 @@ class BytePairEncoder:
         self.matches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.tokens = pa.array(self.vocabulary, pa.large_binary())
-        byte_ids = np.zeros(256, np.int64)
-        byte_ids[:] = self.of_byte
-        self.byte_ids = byte_ids
+        self.byte_ids = np.array(self.of_byte, np.int64)
+
+    @cached_property
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all pairs that merge, sorted, and their ranks."""
+        ranks = self.ranks
         known = sorted((ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
-        self.pair_keys, self.pair_ids = np.array(known, np.int64).reshape(-1, 2).T.copy()
+        keys, ids = np.array(known, np.int64).reshape(-1, 2).T.copy()
+        return keys, ids
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        table, ids = self.pair_table
         keys = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, ids[at], -1)
 
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each of many matches."""
