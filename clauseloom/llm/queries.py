@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, html_text, mixing, quality, simhash, substrings, toxicity
+from . import bpe, chat, forest, html_text, mixing, passages, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only documents that share a passage have a row."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_passages", F.size("passages").cast("long"))
+
+
 def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     test = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_outliers": op4_quality_outliers,
     "op5_simhash_components": op5_simhash_components,
     "op6_hash_forest": op6_hash_forest,
+    "op7_near_passages": op7_near_passages,
     "op8_format_chats": op8_format_chats,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
