@@ -73,6 +73,11 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return h[a[new]].view(np.int64), of[new], first - starts[of[new]], a[new] - first, final - first + 1
 
 
+def hashed(values: np.ndarray) -> np.ndarray:
+    h = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 def parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of AT_ONCE bytes, or one longer text."""
     begin = size = 0
@@ -147,7 +152,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, context, doc, at) of all strings of ``length`` bytes."""
+    """(anchor, context, doc, at) of all strings of ``length`` bytes.
+
+    Of equal contexts in one batch all but the first are settled here: their ``at`` is inverted, and in
+    place of the anchor they have a hash of their own, so that frequent passages don't meet in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -162,6 +171,10 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                     hashes = np.array([digest(texts[i][j:k]) for i, j, k in zip(of.tolist(), start.tolist(), (start + count - 1 + length).tolist(), strict=True)], np.uint64)
                     own = from_row + begin + of
                     at = copies[own] << 45 | start << 14 | offset << 7 | (count - 1)
+                    order = np.lexsort((at, ids[own], hashes, anchor))
+                    again = order[1:][(np.diff(anchor[order]) == 0) & (hashes[order[1:]] == hashes[order[:-1]])]
+                    anchor[again] = hashed(ids[own[again]] ^ at[again])
+                    at[again] = ~at[again]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(hashes.view(np.int64)), pa.array(ids[own]), pa.array(at)], ["anchor", "context", "doc", "at"])
 
     return docs.select("_doc", "_copy", "text").mapInArrow(run, "anchor long, context long, doc long, at long")
@@ -181,6 +194,12 @@ def classes(found: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             a, c, d, p = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            settled = p < 0
+            if settled.any():
+                yield rows(a[settled], d[settled], ~p[settled], 0)
+                a, c, d, p = (x[~settled] for x in (a, c, d, p))
+                if not len(a):
+                    continue
             new = np.concatenate([[last is None or last != (a[0], c[0])], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
             last = (a[-1], c[-1])
             yield rows(a[~new], d[~new], p[~new], 0)
@@ -294,7 +313,7 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] =
     documents of their own, in the order of their texts. Null texts are empty; texts under ``length``
     bytes stay whole; other columns are ignored; an empty table gives an empty result.
     """
-    named = numbered(docs)
+    named = numbered(docs).select(F.struct(*keep).alias("_own"), "doc_id", "_doc", "_copy", "text")
     found = written(classes(contexts(named, length)))
     start = F.shiftright("at", 14).bitwiseAND((1 << 31) - 1)
     whole = found.where("kind = 0").select("doc", F.shiftright("at", 45).alias("copy"), start.alias("start"), (start + F.col("at").bitwiseAND(127) + length).alias("stop"))
@@ -326,7 +345,7 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), spans, pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "spans", "kept"])
 
     schema = f"{types}, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary"
-    return joined.select(*keep, F.col("text").alias("_text"), "spans").mapInArrow(run, schema)
+    return joined.select("_own.*", F.col("text").alias("_text"), F.col("spans").alias("_spans")).mapInArrow(run, schema)
 
 
 def without_passages(docs: DataFrame, length: int = 100) -> DataFrame:
