@@ -34,7 +34,7 @@ REMEMBERED = 200_000
 #: So few matches are merged one by one.
 FEW = 50
 #: Characters of text that are encoded at once, but for one text at least.
-AT_ONCE = 6_000_000
+AT_ONCE = 3_000_000
 
 
 class BytePairEncoder:

@@ -84,6 +84,7 @@ def slots(mixed: DataFrame, n_slots: int, cells: int = 4096, chunk_bits: int = 1
 def schedule(
     docs: DataFrame,
     keep: tuple[str, ...] = ("doc_id",),
+    size: Column | None = None,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     share: float = 1.0,
     max_epochs: int = 3,
@@ -93,6 +94,8 @@ def schedule(
 ) -> DataFrame:
     """The mix of ``docs`` (text, source and the columns ``keep``), one row per piece of a document.
 
+    ``size`` stands for the number of words of the text, where that is known.
+
     Returns ``keep``, row_id (struct; names the input row), source, size, source_size, target, and for
     a piece: slot, block, epoch, from_word, n_words. A document that the mix takes nothing of has one
     row whose slot is null and whose n_words is 0.
@@ -103,7 +106,7 @@ def schedule(
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("src_key")
     ids = [F.col(c) for c in keep]
-    sized = docs.select(*ids, "source", key, words().alias("size"), F.xxhash64(F.lit(seed), *ids).alias("turn"))
+    sized = docs.select(*ids, "source", key, (words() if size is None else size).alias("size"), F.xxhash64(F.lit(seed), *ids).alias("turn"))
     sized = cut(sized.withColumn("bucket", F.pmod(F.xxhash64("turn"), F.lit(buckets))))
     sums = sized.groupBy("src_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
     mixed = cut(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs))
@@ -153,14 +156,16 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     the table has it, is set anew); all others keep their whole texts. Rows that agree in doc_id and
     text count once.
     """
-    named = docs.withColumn("_text_key", F.xxhash64("text"))
-    key = ["doc_id", "_text_key"]
-    once = named.select("doc_id", "_text_key", "text", "source").dropDuplicates(key)
-    mix = schedule(once, keep=tuple(key), **options)
+    key = ["_key", "_key2"]
+    named = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_key2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    once = named.select(*key, "source", words().alias("_size")).groupBy(*key).agg(F.min("source").alias("source"), F.first("_size").alias("_size"))
+    mix = schedule(once, keep=tuple(key), size=F.col("_size"), **options)
     times = mix.where("n_words > 0").groupBy(*key, "row_id", "size", "epoch").agg(F.sum("n_words").alias("_taken"))
-    times = times.select(*[F.col(c).alias(f"{c}__") for c in key], F.when(F.col("_taken") < F.col("size"), F.col("_taken")).alias("_cut"))
-    times = times.groupBy(*[f"{c}__" for c in key]).agg(F.collect_list(F.coalesce("_cut", F.lit(-1))).alias("_cuts"))  # max_epochs entries at most
-    joined = named.dropDuplicates(key).join(times, F.col("doc_id").eqNullSafe(F.col("doc_id__")) & F.col("_text_key").eqNullSafe(F.col("_text_key__")))
+    times = times.select(*key, F.when(F.col("_taken") < F.col("size"), F.col("_taken")).alias("_cut"))
+    times = times.groupBy(*key).agg(F.collect_list(F.coalesce("_cut", F.lit(-1))).alias("_cuts"))  # max_epochs entries at most
+    # the rank needs the rows of a key together and in order, as the join does
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("_key"))
+    joined = named.withColumn("_row", first).where("_row = 1").join(times, key)
     joined = joined.withColumn("_cut", F.explode("_cuts"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_cut"), F.lit(0)).cast("int")), "")
     out = joined.withColumn("text", F.when(F.col("_cut") > 0, head).otherwise(F.col("text")))

@@ -31,7 +31,7 @@ K = 16
 STEP = 16
 MANY = 20_000  # contexts of one anchor that a task gathers
 #: Bytes that are hashed at once, and that are suffix-sorted together.
-AT_ONCE, SORTED = 4_000_000, 40_000
+AT_ONCE, SORTED = 1_000_000, 40_000
 NO_ID = (1 << 63) - 1
 #: A place packs (copy of the id, start, offset of the anchor, number of strings - 1): 18, 31, 7 and 7 bits.
 SPAN = 1 << 14

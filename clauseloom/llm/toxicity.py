@@ -219,12 +219,14 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
     model = spark.sparkContext.broadcast((counts.astype(np.float32), rates, words))  # bounded by the alphabet and the sample
     schema = ", ".join(f"`{c}` {t.dataType.simpleString()}" for c, t in types.items()) + f", `{name}` double"
 
+    at = keep.index("text") if "text" in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rates, words = model.value
         restorer, known = Restorer(counts.astype(np.float64), words), {}
         for batch in batches:
             scores = []
-            for text in batch.column(len(keep)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 clean, hits = 1.0 - rest, set()
                 for t in tokens_of(text) if text else ():
                     found = known.get(t)
@@ -239,7 +241,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
                 scores.append(1.0 - clean)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, name])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep)).mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

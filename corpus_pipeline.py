@@ -13,21 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.llm import bpe, mixing, simhash, substrings, toxicity
-from clauseloom.llm.common import written
+from clauseloom.llm.common import small_batches, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer rejects go; all others stay whole."""
+    small_batches(spark)
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: the one with the least doc_id."""
+    small_batches(spark)
     return simhash.without_copies(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that start earlier as well are cut; every document stays, with what is left of its text."""
+    small_batches(spark)
     return substrings.without_passages(docs)
 
 
@@ -38,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of each row."""
+    small_batches(spark)
     ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"))
     return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
