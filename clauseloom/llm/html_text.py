@@ -34,8 +34,10 @@ AT_ONCE = 128
 
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-RAW = set("script style noscript template textarea title svg math iframe object canvas audio video select button head xmp noframes".split())
+#: Their content is no text of the page. What else a head holds is void; it ends with its first other tag or text, so it needs no end tag.
+RAW = set("script style noscript template textarea title svg math iframe object canvas audio video select button xmp noframes".split())
+#: Block-level tags that a select holds itself.
+OPTIONS = {"option", "optgroup", "hr"}
 #: A start tag ends an open element of these kinds, if that is nearer than the second set.
 CLOSES = {"p": ({"p"}, BLOCKS - {"p"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>", re.S)
@@ -61,11 +63,46 @@ def path_tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def raw_ends(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a raw tag end, by where they start; those without an end tag of their own are left out."""
+    out, open_ = {}, []
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
+def unclosed_end(page: str, at: int, tag: str) -> int:
+    """Where the content of a raw element without end tag stops: at the next block-level tag or the end tag of what it stands in."""
+    inner: list[str] = []
+    while m := TOKEN.search(page, at):
+        name = (m[2] or "").lower()
+        if (name in BLOCKS or name == "form") and not (tag == "select" and name in OPTIONS):
+            return m.start()
+        if name and m[1] and name not in OPTIONS:
+            if name not in inner:
+                return m.start()
+            while inner.pop() != name:
+                pass
+        elif name in ("script", "style") and not m[1]:
+            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, m.end())
+            at = end.end() if end else len(page)
+            continue
+        elif name and name not in VOID and name not in OPTIONS:
+            inner.append(name)
+        at = m.end()
+    return len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, white space normalised, empty ones left out."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
+    ends_of: dict[str, dict[int, int]] = {}
     links = linked = at = 0
 
     def close() -> None:
@@ -112,17 +149,26 @@ def blocks(page: str) -> list[Block]:
                     close()
             continue
         if tag in RAW:
-            if tag in BLOCKS or tag in ("title", "head"):
+            if tag == "title":
                 close()
-            if tag == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = n if not end else end.end() if page[end.start() + 1] == "/" else end.start()
-            elif not (m[3] or "").rstrip().endswith("/") or tag in ("script", "style"):
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not (m[3] or "").rstrip().endswith("/") or tag in ("script", "style"):
+                if tag in ("script", "style"):  # their content holds no elements
+                    found = None if tag in ends_of else re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+                    end = found.end() if found else None
+                    if not found:
+                        ends_of[tag] = {}  # nor do later ones end
+                else:
+                    if tag not in ends_of:
+                        ends_of[tag] = raw_ends(page, tag)
+                    end = ends_of[tag].get(m.start())
+                if end is None:
+                    end = n if tag == "script" else unclosed_end(page, at, tag)
+                at = end
             text.append(" ")
         elif tag == "br":
             text.append(" ")
+        elif tag == "head":
+            close()
         elif tag == "a":
             links += 1
         elif tag in BLOCKS or tag == "form":

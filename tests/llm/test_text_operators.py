@@ -209,3 +209,20 @@ def test_page_odd_rows(spark):
     htmls = [None, "", "<p>", "<", "plain text only", "<article><p>Hello &amp world &#233;<br>and  more words here</p><script>x<p>y</script>", "<div>" * 3000 + "x"]
     rows = html_text.main_texts(spark.createDataFrame([(i, "u", h, "t") for i, h in enumerate(htmls)], "page_id long, url string, html string, text string")).orderBy("page_id").collect()
     assert [r.text for r in rows[:4]] == [""] * 4 and rows[5].text == "Hello & world é and more words here"
+
+
+def test_page_optional_and_missing_end_tags():
+    said = ["A heading", "The article goes on here."]
+    main = f"<article><h1>{said[0]}</h1><p>{said[1]}</p></article>"
+    read = lambda page: [b.text for b in html_text.blocks(page)]
+    assert read(f"<html><head><title>t</title><meta charset=utf-8>{main}") == said
+    assert read(f"<html><head><title>t<body>{main}") == said
+    for tag in ("button", "object", "iframe", "svg", "noscript", "textarea"):
+        assert read(f"<div><{tag}>gone</div>{main}") == said
+        assert read(f"<{tag}>gone{main}<{tag}>gone</{tag}>") == said
+        assert read(f"<p>Stays <span><{tag}>gone</span> too</p>{main}") == ["Stays too", *said]
+    assert read(f"<form><select><option>gone<option>gone</form>{main}<select><option>gone</select>") == said
+    assert read("<object><object>gone</object>gone</object><p>stays") == ["stays"]
+    assert read(f"{main}<script>'<p>gone'") == said
+    assert read(f"<!-- <script> --><script>gone</script>{main}") == said
+    assert read(f"<head><style>p {{}}{main}") == said
