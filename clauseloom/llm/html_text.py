@@ -16,6 +16,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 PATH, WORDS, MEASURES = 96, 48, 6
 D = PATH + WORDS + MEASURES
 HIDDEN, PAGES, EPOCHS, BATCH, RATE = 20, 700, 9, 35, 0.012
-#: Nearest open elements whose tokens make a block's path.
-DEEP = 48
+#: Words of a block up to which each weighs the same.
+USUAL = 16
 #: Pages that are labelled at once.
 AT_ONCE = 128
 
@@ -46,10 +47,32 @@ HIDES = re.compile(r"(?:^|\s)hidden(?:\s|=|\Z)|display\s*:\s*none|aria-hidden\s*
 NAME = re.compile(r"[a-z]+")
 
 
+class Path:
+    """The tokens of all open elements, as a chain; each adds to its parent's vector, a token that is open already once only."""
+
+    __slots__ = ("parent", "tokens", "vector")
+
+    def __init__(self, parent: Path | None, tokens: tuple[str, ...], new: list[str]):
+        self.parent, self.tokens = parent, tokens
+        self.vector = np.zeros(PATH, np.float32) if parent is None else parent.vector.copy() if new else parent.vector
+        for t in new:
+            if (k := OWN_AT.get(t)) is not None:
+                self.vector[k] = 1.0
+            else:
+                k, sign = bucket(t, PATH - len(OWN))
+                self.vector[len(OWN) + k] += 0.5 * sign
+
+    def __iter__(self) -> Iterator[str]:
+        node = self
+        while node is not None:
+            yield from node.tokens
+            node = node.parent
+
+
 class Block:
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -100,7 +123,9 @@ def unclosed_end(page: str, at: int, tag: str) -> int:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, white space normalised, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Path(None, (), [])
+    stack: list[tuple[str, Path]] = []
+    open_tokens: Counter[str] = Counter()
     text: list[str] = []
     ends_of: dict[str, dict[int, int]] = {}
     links = linked = at = 0
@@ -110,13 +135,14 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = "".join(text).split()
             if words:
-                out.append(Block(tuple(t for _, tokens in stack[-DEEP:] for t in tokens), " ".join(words), linked))
+                out.append(Block(stack[-1][1] if stack else root, " ".join(words), linked))
             text.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
         close()
-        del stack[k:]
+        while len(stack) > k:
+            open_tokens.subtract(stack.pop()[1].tokens)
 
     n = len(page)
     while at < n:
@@ -182,11 +208,13 @@ def blocks(page: str) -> list[Block]:
                     elif stack[k][0] in stops:
                         break
                 if first is not None:
-                    del stack[first:]
+                    pop_to(first)
             elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "section", "blockquote", "pre", "form", "footer", "header", "nav", "aside", "article") and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop_to(len(stack) - 1)
             if tag not in VOID:
-                stack.append((tag, path_tokens(tag, m[3])))
+                tokens = path_tokens(tag, m[3])
+                stack.append((tag, Path(stack[-1][1] if stack else root, tokens, [t for t in dict.fromkeys(tokens) if not open_tokens[t]])))
+                open_tokens.update(tokens)
             links = 0
     close()
     return out
@@ -206,20 +234,13 @@ OWN_AT = {t: i for i, t in enumerate(OWN)}
 def vectors(page: list[Block]) -> np.ndarray:
     """A row for each block."""
     out = np.zeros((len(page), D), np.float32)
-    rest = PATH - len(OWN)
     for i, b in enumerate(page):
         row = out[i]
-        for depth, t in enumerate(reversed(b.path)):
-            k = OWN_AT.get(t)
-            if k is not None:
-                row[k] = 1.0
-            else:
-                k, sign = bucket(t, rest)
-                row[len(OWN) + k] += 0.5 * sign
+        row[:PATH] = b.path.vector
         words = b.text.lower().split()
-        for w in words[:12] + words[-4:]:  # cue words stand at a block's ends; all words count in the measures
-            k, sign = bucket(w, WORDS)
-            row[PATH + k] += 0.15 * sign
+        # counts of all words; in long blocks they weigh less, as their sums scatter more
+        at, sign = zip(*[bucket(w, WORDS) for w in words], strict=True)
+        row[PATH : PATH + WORDS] = np.bincount(at, sign, WORDS) * (0.15 * min(1.0, (USUAL / len(words)) ** 0.5))
         n = len(words)
         size = max(1, len(b.text))
         row[PATH + WORDS :] = (np.log1p(n) / 5, min(1.0, b.linked / size), sum(b.text.count(c) for c in ".,;") / size * 20, i / max(1, len(page) - 1), 1.0 if n > 12 else 0.0, 1.0 if "©" in b.text else 0.0)

@@ -226,3 +226,11 @@ def test_page_optional_and_missing_end_tags():
     assert read(f"{main}<script>'<p>gone'") == said
     assert read(f"<!-- <script> --><script>gone</script>{main}") == said
     assert read(f"<head><style>p {{}}{main}") == said
+
+
+def test_vectors_see_all_words_and_the_whole_path():
+    words = [f"word{i}" for i in range(60)]
+    row = lambda page: html_text.vectors(html_text.blocks(page))[0]
+    changed = [*words[:30], "cookies", *words[31:]]
+    assert (row(f"<p>{' '.join(words)}")[html_text.PATH :] != row(f"<p>{' '.join(changed)}")[html_text.PATH :]).any()
+    assert row(f"<footer>{'<div>' * 200}x")[html_text.OWN_AT["footer"]] == 1
