@@ -2,8 +2,8 @@
 
 A word that looks disguised (symbols or digits between letters, a letter three times in a row, letters
 spaced out) is read as a lattice: a symbol may stand for a letter or be filler, a repeated letter may be
-one letter. Viterbi decoding under a character trigram model picks the reading; the restored text is
-then scored by words and word beginnings that labelled toxic documents have and others lack.
+one letter, and between letters that are spaced out a word may end. Viterbi decoding under a character
+trigram model picks the reading; the restored text is then scored by words and word beginnings that labelled toxic documents have and others lack.
 
 The trigram counts come from all documents; a small share of the model's mass is given to the learned
 words. The scorer learns from at most ``PER_CLASS`` labelled documents of each class, taken in hash order.
@@ -36,7 +36,10 @@ AS_LETTER, AS_FILLER, AS_REPEAT = 0.5, 3.0, 1.0
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”„«»‘’…–—·¡¿"
 DISGUISED = re.compile(r"[^\W\d_](?:[\W\d_]+)[^\W\d_]|([^\W\d_])\1\1|\d[^\W\d_]|[^\W\d_]\d")
 PLAIN_JOIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})+\Z")
-SPACED = re.compile(r"(?<!\S)\w(?:[ ]\w){3,}(?!\w)")
+SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\w)")
+GAP = re.compile(r"\s+")
+#: Between the letters of a spaced token: as wide as any of its gaps, or wider than the narrowest.
+NARROW, WIDE = " ", "\n"
 REMEMBERED = 300_000
 #: Letters in the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -92,17 +95,27 @@ class Restorer:
         self.cost = -np.log(triple / triple.sum(-1, keepdims=True)).astype(np.float32)
 
     def __call__(self, seen: str) -> str:
-        """The likeliest reading of a disguised word."""
+        """The likeliest reading of a disguised word; of letters that are spaced out, words with blanks between."""
         cost = self.cost
-        # the best (cost, reading) for each two last letters
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # the best (cost, reading) for each two last letters; a reading is (the one it goes on from, letter)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for c in seen:
+            if c in (NARROW, WIDE):
+                stay = AS_FILLER if c == WIDE else 0.0
+                ends = [(so_far + float(cost[a, b, 0]), read) for (a, b), (so_far, read) in states.items() if read and read[1] != " "]
+                states = {k: (so_far + stay, read) for k, (so_far, read) in states.items()}
+                if ends:
+                    total, read = min(ends, key=lambda e: e[0])
+                    if (0, 0) not in states or total < states[0, 0][0]:
+                        states[0, 0] = (total, (read, " "))
+                before = c
+                continue
             options = [(c, 0.0)] if c.isalpha() else [(x, AS_LETTER) for x in STANDS_FOR.get(c, "")]
             skip = AS_REPEAT if c == before else AS_FILLER if not c.isalnum() else None
             if not options and c.isdigit():
                 options = [(c, 0.0)]
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, read) in states.items():
                 if skip is not None:
                     if (a, b) not in step or so_far + skip < step[a, b][0]:
@@ -111,9 +124,13 @@ class Restorer:
                     code = CODES.get(x, OTHER)
                     total = so_far + extra + float(cost[a, b, code])
                     if (b, code) not in step or total < step[b, code][0]:
-                        step[b, code] = (total, read + x)
+                        step[b, code] = (total, (read, x))
             states, before = step, c
-        return min(((so_far + float(cost[a, b, 0]), read) for (a, b), (so_far, read) in states.items()), default=(0.0, ""))[1]
+        read, letters = min(((so_far + float(cost[a, b, 0]), read) for (a, b), (so_far, read) in states.items()), key=lambda e: e[0], default=(0.0, None))[1], []
+        while read:
+            read, x = read
+            letters.append(x)
+        return "".join(reversed(letters))
 
 
 def restored(token: str, restorer: Restorer) -> str:
@@ -128,10 +145,12 @@ def restored(token: str, restorer: Restorer) -> str:
 
 
 def tokens_of(text: str) -> set[str]:
+    """Words, and runs of letters that are spaced out, their gaps as NARROW or WIDE."""
     lower = text.lower()
     tokens = set(lower.split())
-    if " " in lower:
-        tokens.update(m[0].replace(" ", "-") for m in SPACED.finditer(lower))
+    for m in SPACED.finditer(lower):
+        least = min(map(len, GAP.findall(m[0])))
+        tokens.add(GAP.sub(lambda gap: WIDE if len(gap[0]) > least else NARROW, m[0]))
     return tokens
 
 
@@ -140,6 +159,11 @@ def features(word: str) -> list[str]:
     return [word, *[f"{word[:k]}~" for k in BEGINNINGS if len(word) >= k]] if len(word) > 2 else []
 
 
+def features_of(token: str, restorer: Restorer) -> list[str]:
+    """The features of each word that a token restores to."""
+    return [f for word in restored(token, restorer).split() for f in features(word)]
+
+
 def sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """(doc_id, toxic): labelled rows to learn from, ``per_class`` of each class at most, in hash order; repeated ids once."""
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -176,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_ra
                 own: set[str] = {""}  # counts documents
                 for t in tokens_of(text or ""):
                     if t not in known:
-                        known[t] = features(restored(t, restorer))
+                        known[t] = features_of(t, restorer)
                     own.update(known[t])
                 found[toxic].update(own)
         names = list(found[0] | found[1])
@@ -233,7 +257,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
                     if found is None:
                         if len(known) > REMEMBERED:
                             known.clear()
-                        found = known[t] = tuple(f for f in features(restored(t, restorer)) if f in rates)
+                        found = known[t] = tuple(f for f in features_of(t, restorer) if f in rates)
                     if found:
                         hits.update(found)
                 for f in sorted(hits):

@@ -234,3 +234,17 @@ def test_vectors_see_all_words_and_the_whole_path():
     changed = [*words[:30], "cookies", *words[31:]]
     assert (row(f"<p>{' '.join(words)}")[html_text.PATH :] != row(f"<p>{' '.join(changed)}")[html_text.PATH :]).any()
     assert row(f"<footer>{'<div>' * 200}x")[html_text.OWN_AT["footer"]] == 1
+
+
+def test_spaced_words_are_found_one_by_one(spark):
+    rng = random.Random(8)
+    plain = "the a an is what that you he we very house tree garden water river morning letter table green quiet people walking under over because there".split()
+    rude = ["idiot", "moron", "git"]
+    rows = [(i, " ".join([*rng.choices(plain, k=30), *([rng.choice(rude)] if i % 4 == 0 else []), *rng.choices(plain, k=9)])) for i in range(1, 800)]
+    spaced = ["what a m o r o n he is", "well y o u i d i o t there", "that i\td\ti\to\tt there", "that m\no\nr\no\nn there", "that m\u00a0o\u00a0r\u00a0o\u00a0n there", "that i  d  i  o  t there", "the g i t there", "y o u  m o r o n"]
+    clean = ["what a t r e e that is", "the  g a r d e n  there", "a b c"]
+    asked = [10_000 + i for i in range(len(spaced) + len(clean))]
+    docs = spark.createDataFrame([*rows, *zip(asked, spaced + clean, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, labels).where("doc_id >= 10000").collect()}
+    assert [score[i] >= 0.5 for i in asked] == [True] * len(spaced) + [False] * len(clean)
