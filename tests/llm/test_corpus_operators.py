@@ -287,3 +287,15 @@ def test_pipeline_odd_rows(spark, odd, sf_dir):
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
         now = stage(spark, now, sf_dir)
     assert now.count() > 0
+
+
+def test_passages_of_one_function_are_linked(spark, monkeypatch):
+    """Groups of edited copies whose windows differ beside their min-hash: one link is enough, in any order."""
+    monkeypatch.setattr(passages, "FUNCTIONS", 1)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    texts = [[word() for _ in range(rng.randint(0, 30))] + passage + [word() for _ in range(rng.randint(0, 30))] for _ in range(40)]
+    texts += [[word() for _ in range(80)] for _ in range(5)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in passages.repeated_passages(frame).collect()} == {(i, 0) for i in range(40)}
