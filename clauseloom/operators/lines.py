@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import WS, strip
 
+# The line forms of the segmentation rules. Written without look-ahead, for engines that have none:
+# group 1 of HEADING is the id, group 2 what follows; the first character of that is consumed instead.
 BULLET = rf"^[{WS}]*(?:[•–—*\-]|[a-z]\)|[ivxlc]+\)|\([0-9]+\))[{WS}]+"
-#: Group 1 is the id, group 2 what follows; the first character of that is consumed instead of looked ahead at.
 HEADING = (
     r"(?s)^("
     rf"Section[{WS}]+\p{{Nd}}[\p{{Nd}}.]*"
@@ -18,6 +19,9 @@ HEADING = (
     rf")(?:[{WS}]*[.:]?[{WS}]+|[{WS}]*\z)((?:[^\p{{Nd}}a-z].*)?)\z"
 )
 FAKE = rf"^\p{{Nd}}+\.[{WS}]+[a-z]"
+#: How each line that HEADING matches begins; cheaper to test.
+MAYBE = r"^(?:Section|[A-Z]-|\p{Nd})"
+MARK = "\u0000"
 TITLE_WORDS, NOISE_CHARS = 7, 20
 #: Why a line that looks like a heading is body text; the first that holds counts.
 VETOES = ("fake", "lowercase_title", "year", "bad_first_char", "long_title", "colon_end", "bare_integer", "noise")
@@ -54,7 +58,10 @@ def classify(lines: DataFrame) -> DataFrame:
     heading_id and title are null but for headings; veto tells why a line that matches the heading
     pattern is body text.
     """
-    found = lines.withColumns({"_id": F.regexp_extract("stripped", HEADING, 1), "_rest": strip(F.regexp_extract("stripped", HEADING, 2)), "_bullet": F.col("line").rlike(BULLET)})
+    # one pass of the pattern gives both groups; a line that it doesn't match stays as it is, without the mark in front
+    marked = F.when(F.col("stripped").rlike(MAYBE), F.regexp_replace("stripped", F.lit(HEADING), F.lit(f"{MARK}$1{MARK}$2")))
+    found = lines.withColumns({"_groups": F.when(marked.startswith(MARK), F.split(marked, MARK, 3)), "_bullet": F.col("line").rlike(BULLET)})
+    found = found.withColumns({"_id": F.coalesce(F.col("_groups")[1], F.lit("")), "_rest": strip(F.coalesce(F.col("_groups")[2], F.lit("")))}).drop("_groups")
     found = found.withColumn("veto", F.when((F.col("_id") != "") & ~F.col("_bullet"), veto(F.col("stripped"), F.col("_id"), F.col("_rest"))))
     heads = (F.col("_id") != "") & F.col("veto").isNull()
     found = found.withColumn("kind", F.when(F.col("_bullet"), "bullet").when(heads, "heading").otherwise("body"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from clauseloom.functions.text import strip
 
 PREAMBLE_TITLE = 80
-#: Depths up to this one find their parents by one window column each.
-MAX_DEPTH = 12
 
 
 def depth(clause_id: Column) -> Column:
@@ -49,21 +47,22 @@ def group_lines(lines: DataFrame) -> DataFrame:
     return segments.withColumn("level", level(F.col("depth"))).select("doc_id", "seg_no", "clause_id", "level", "depth", "title", "text", "first_line")
 
 
-def with_parents(segments: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_parents(segments: DataFrame) -> DataFrame:
     """Adds parent_clause: the id of the last segment before that is less deep; null if there is none.
 
-    Depths up to ``max_depth`` take one framed ``last`` each. Deeper segments, which are rare, also look
-    through the deep ones before them.
+    A fold over each document's segments holds the open ancestors, whose depths rise strictly; so depth has
+    no bound. The segments of a document are brought together for it, by the partitioning they have already.
     """
-    before = Window.partitionBy("doc_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.struct("seg_no", "clause_id")
-    last = lambda most: F.last(F.when(F.col("depth") <= most, own), ignorenulls=True).over(before)
-    parent = F.lit(None).cast("struct<seg_no:int,clause_id:string>")
-    for d in range(2, max_depth + 1):
-        parent = F.when(F.col("depth") == d, last(d - 1)).otherwise(parent)
-    deep = F.collect_list(F.when(F.col("depth") >= max_depth, F.struct("seg_no", "clause_id", "depth"))).over(before)
-    found = segments.withColumns({"_shallow": last(max_depth - 1), "_parent": parent, "_deep": F.when(F.col("depth") > max_depth, deep)})
-    nearer = F.when(F.size("_deep") > 0, F.try_element_at(F.filter("_deep", lambda s: s["depth"] < F.col("depth")), F.lit(-1)))
-    deepest = F.greatest(F.col("_shallow"), F.when(nearer.isNotNull(), F.struct(nearer["seg_no"].alias("seg_no"), nearer["clause_id"].alias("clause_id"))))
-    parent_id = F.when(F.col("depth") > max_depth, deepest["clause_id"]).otherwise(F.col("_parent.clause_id"))
-    return found.withColumn("parent_clause", parent_id).drop("_shallow", "_parent", "_deep")
+    own = [c for c in segments.columns if c not in ("doc_id", "seg_no")]
+    lists = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg_no", F.struct(*own).alias("own")))).alias("segments"))
+    ids = F.transform("segments", lambda s: F.struct(s["own"]["depth"].alias("depth"), s["own"]["clause_id"].alias("id")))
+    start = F.struct(F.array().cast("array<struct<depth:int,id:string>>").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def add(state: Column, s: Column) -> Column:
+        above = F.filter(state["open"], lambda x: x["depth"] < s["depth"])
+        parent = F.try_element_at(above, F.lit(-1))["id"]
+        return F.struct(F.concat(above, F.array(s)).alias("open"), F.concat(state["out"], F.array(parent)).alias("out"))
+
+    parents = F.aggregate(ids, start, add, lambda state: state["out"])
+    rows = lists.select("doc_id", F.inline(F.arrays_zip("segments", parents.alias("parent_clause"))))
+    return rows.select("doc_id", "segments.seg_no", "segments.own.*", "parent_clause").select(*segments.columns, "parent_clause")

@@ -38,7 +38,12 @@ POLICIES = f"""policies AS (
       WHEN 6 THEN i || '. ' || lower({FIRST}) || chr(10) || l
       WHEN 7 THEN '2024 ' || {FIRST} || chr(10) || (i + 30) || chr(10) || l
       WHEN 8 THEN chr(9) || chr(9) || l || chr(13) || chr(10) || chr(10) || chr(10) || chr(10)
-      ELSE l END), chr(10)) AS text
+      ELSE CASE ((doc_id + i - 1) // 10) % 5
+        WHEN 0 THEN i || '.' || chr(160) || ' ' || lower({FIRST}) || chr(10) || l
+        WHEN 1 THEN i || ' *' || {FIRST} || chr(10) || l
+        WHEN 2 THEN i || ' T ' || {FIRST} || ' ' || {FIRST} || ' ' || {FIRST} || chr(10) || l
+        WHEN 3 THEN i || ' Terms:' || chr(10) || l
+        ELSE l END END), chr(10)) AS text
   FROM documents)"""
 
 HEADING = rf"^(Section[{WS}]+\p{{Nd}}[\p{{Nd}}.]*|[A-Z]-\p{{Nd}}[\p{{Nd}}.]*|\p{{Nd}}+(?:\.\p{{Nd}}+)+|\p{{Nd}}+)(?:[{WS}]*[.:]?[{WS}]+|[{WS}]*\z)((?:[^\p{{Nd}}a-z].*)?)\z"
@@ -83,6 +88,7 @@ CORE = f"WITH {POLICIES}, {lines('policies')}, {SEGMENTS}"
 
 
 def keywords() -> str:
+    """CTEs from ``segments`` to ``top``."""
     always = q(r"[;?!@#$%&*" + "\"“”«»" + r"()\[\]{}<>`]|--")
     text = f"regexp_replace(text, {always}, ' ', 'g')"
     text = f"regexp_replace({text}, {q(r'[,:]+([^\p{Nd},:]|\z)')}, {q(r' \1')}, 'g')"
@@ -93,29 +99,44 @@ def keywords() -> str:
         text = f"regexp_replace({text}, {q(rf'(?i)\b({a})({b})\b')}, {q(r'\1 \2')}, 'g')"
     listed = ", ".join(q(f"{a}.") for a in ABBREVIATIONS)
     bare = "regexp_replace(regexp_replace(t, " + q("[.]+['’]*\\z|['’]+\\z") + ", '', 'g'), " + q("^['‘’]+") + ", '', 'g')"
-    return f"""{CORE},
-tokens AS (SELECT doc_id, seg_no, list_filter(regexp_split_to_array({text}, {q(rf'[{WS}]+')}), lambda t: t <> '') AS ts FROM segments),
+    return f"""tokens AS (SELECT doc_id, seg_no, list_filter(regexp_split_to_array({text}, {q(rf'[{WS}]+')}), lambda t: t <> '') AS ts FROM segments),
 bare AS (SELECT doc_id, seg_no, list_transform(ts, lambda t, i: CASE WHEN lower(t) IN ({listed}) AND i < len(ts) THEN t ELSE {bare} END) AS ts FROM tokens),
 words AS (SELECT doc_id, seg_no, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM bare),
 counts AS (SELECT doc_id, seg_no, lower(t) AS word, count(*) AS n, min(pos) AS pos FROM words
   WHERE regexp_matches(t, {q(r'^\p{L}{3,}\z')}) AND lower(t) NOT IN ({', '.join(map(q, STOP_WORDS))}) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seg_no ORDER BY n DESC, pos) AS rn FROM counts),
-top AS (SELECT doc_id, seg_no, string_agg(word, ' ' ORDER BY rn) AS keywords FROM ranked WHERE rn <= 5 GROUP BY ALL)
-SELECT s.doc_id, s.seg_no, coalesce(keywords, '') AS keywords FROM segments s LEFT JOIN top USING (doc_id, seg_no)"""
+top AS (SELECT doc_id, seg_no, list(word ORDER BY rn) AS keywords FROM ranked WHERE rn <= 5 GROUP BY ALL)"""
 
 
 def contexts() -> str:
+    """CTEs from ``segments`` to ``contexts``."""
     boundary = q(r"([.?!]+[" + "\"'”’" + rf")\]}}]*)([{WS}]+)")
     names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     goes_on = f"""(regexp_matches(before, {q(rf'(?i)(?:^|[^\p{{L}}\p{{N}}.])(?:{names})\.\z')}) OR regexp_matches(before, {q(r'(?:^|[^\p{L}\p{N}])\p{Lu}\.\z')})
     OR regexp_matches(before, {q(r'(?:^|[^\p{L}\p{N}])\p{Nd}+\.\z')}) AND regexp_matches(piece, {q(rf'^[{WS}]*\p{{Ll}}')}))"""
-    return f"""{CORE},
-cut AS (SELECT doc_id, seg_no, string_split(regexp_replace(text, {boundary}, '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM segments),
+    return f"""cut AS (SELECT doc_id, seg_no, string_split(regexp_replace(text, {boundary}, '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM segments),
 pieces AS (SELECT doc_id, seg_no, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM cut),
 lagged AS (SELECT *, lag(piece) OVER (PARTITION BY doc_id, seg_no ORDER BY i) AS before FROM pieces),
 marked AS (SELECT *, sum(CASE WHEN before IS NULL OR {goes_on} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, seg_no ORDER BY i) AS s FROM lagged),
-sentences AS (SELECT doc_id, seg_no, s, {strip("string_agg(piece, '' ORDER BY i)")} AS sentence FROM marked GROUP BY doc_id, seg_no, s)
-SELECT doc_id, seg_no, string_agg(sentence, ' ' ORDER BY s) AS context FROM sentences WHERE s < 2 GROUP BY doc_id, seg_no"""
+sentences AS (SELECT doc_id, seg_no, s, {strip("string_agg(piece, '' ORDER BY i)")} AS sentence FROM marked GROUP BY doc_id, seg_no, s),
+contexts AS (SELECT doc_id, seg_no, string_agg(sentence, ' ' ORDER BY s) AS context FROM sentences WHERE s < 2 GROUP BY doc_id, seg_no)"""
+
+
+PARENTS = """parents AS (SELECT a.doc_id, a.seg_no, arg_max(b.clause_id, b.seg_no) AS parent_clause
+  FROM segments a LEFT JOIN segments b ON a.doc_id = b.doc_id AND b.seg_no < a.seg_no AND b.depth < a.depth GROUP BY a.doc_id, a.seg_no)"""
+
+
+def json_sql() -> str:
+    """Each document's segments as one JSON array, absent parents left out."""
+    field = lambda name, value: f"'\"{name}\":' || to_json({value})"
+    fields = " || ',' || ".join(field(c, f"s.{c}") for c in ("file_name", "clause_id", "level", "title", "text"))
+    parent = f"CASE WHEN parent_clause IS NULL THEN '' ELSE ',' || {field('parent_clause', 'parent_clause')} END"
+    rest = f"{field('keywords', 'coalesce(keywords, [])')} || ',' || {field('context', 'context')}"
+    return f"""{CORE}, {keywords()}, {contexts()}, {PARENTS},
+objects AS (SELECT s.doc_id, s.seg_no, '{{' || {fields} || {parent} || ',' || {rest} || '}}' AS object
+  FROM (SELECT segments.*, file_name FROM segments JOIN policies USING (doc_id)) s LEFT JOIN top USING (doc_id, seg_no) LEFT JOIN contexts USING (doc_id, seg_no) LEFT JOIN parents USING (doc_id, seg_no))
+SELECT p.doc_id, regexp_replace(p.file_name, '[.][^./]*$', '') || '_output.json' AS output_name, '[' || coalesce(string_agg(object, ',' ORDER BY seg_no), '') || ']' AS json
+  FROM policies p LEFT JOIN objects o ON p.doc_id = o.doc_id GROUP BY p.doc_id, p.file_name"""
 
 
 PREAMBLE = "SELECT doc_id, clause_id, title FROM segments WHERE clause_id LIKE 'PREAMBLE-%'"
@@ -127,12 +148,15 @@ ORACLES: dict[str, str] = {
     "line_kinds": f"WITH {POLICIES}, {lines('policies')} SELECT doc_id, line_no, kind, heading_id, title, veto FROM lines",
     "heading_vetoes": f"WITH {POLICIES}, {lines('policies')} SELECT veto, count(*) AS n_lines FROM lines WHERE veto IS NOT NULL GROUP BY ALL",
     "segments_core": f"{CORE} SELECT doc_id, seg_no, clause_id, level, title, text, depth FROM segments",
-    "segment_parents": f"""{CORE} SELECT a.doc_id, a.seg_no, a.clause_id, arg_max(b.clause_id, b.seg_no) AS parent_clause
-      FROM segments a LEFT JOIN segments b ON a.doc_id = b.doc_id AND b.seg_no < a.seg_no AND b.depth < a.depth GROUP BY a.doc_id, a.seg_no, a.clause_id""",
+    "segment_parents": f"{CORE}, {PARENTS} SELECT doc_id, seg_no, clause_id, parent_clause FROM segments JOIN parents USING (doc_id, seg_no)",
     "preambles": f"""SELECT 'raw' AS corpus, * FROM (WITH {lines('documents')}, {SEGMENTS} {PREAMBLE})
       UNION ALL SELECT 'rendered', * FROM ({CORE} {PREAMBLE})""",
-    "segment_keywords": keywords(),
-    "segment_context": contexts(),
+    "segment_keywords": f"""{CORE}, {keywords()}
+      SELECT s.doc_id, s.seg_no, coalesce(array_to_string(keywords, ' '), '') AS keywords FROM segments s LEFT JOIN top USING (doc_id, seg_no)""",
+    "segment_context": f"{CORE}, {contexts()} SELECT doc_id, seg_no, context FROM contexts",
+    "segments_json": json_sql(),
+    "text_requests": f"""WITH asked AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'd' || doc_id || '.txt' END AS file_name, CASE WHEN doc_id % 7 > 0 THEN text END AS t FROM documents)
+      SELECT coalesce(file_name, 'inline.txt') AS file_name, CAST(CASE WHEN {BLANK} THEN 400 ELSE 200 END AS INTEGER) AS status, md5(coalesce(t, '')) AS text_md5 FROM (SELECT file_name, coalesce(t, '') AS t FROM asked)""",
     "document_envelope": f"""{CORE} SELECT p.doc_id, p.file_name, CAST(count(s.seg_no) AS INTEGER) AS total_segments, coalesce(string_agg(s.clause_id, ' ' ORDER BY s.seg_no), '') AS clause_ids
       FROM policies p LEFT JOIN segments s ON p.doc_id = s.doc_id GROUP BY p.doc_id, p.file_name""",
     "rejects": f"""WITH asked AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'inline.txt' ELSE 'f' || doc_id || CASE WHEN doc_id % 10 IN (0, 4) THEN '.PDF' WHEN doc_id % 10 IN (2, 6) THEN '.docx' ELSE '.pdf' END END AS file_name,

@@ -10,19 +10,19 @@ from clauseloom.functions.text import clean_text
 from clauseloom.functions.words import ABBREVIATIONS, STOP_WORDS
 from clauseloom.operators.keywords import TOP, with_keywords
 from clauseloom.operators.lines import classify, explode_lines
-from clauseloom.operators.segments import MAX_DEPTH, group_lines, with_parents
+from clauseloom.operators.segments import group_lines, with_parents
 
 
 def classified_lines(docs: DataFrame) -> DataFrame:
     return classify(explode_lines(docs.select("doc_id", clean_text("text").alias("text"))))
 
 
-def segment_documents(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def segment_documents(docs: DataFrame) -> DataFrame:
     """Segments with level and parent, without keywords and context."""
-    return with_parents(group_lines(classified_lines(docs)), max_depth)
+    return with_parents(group_lines(classified_lines(docs)))
 
 
-def parse_documents(docs: DataFrame, top_n: int = TOP, max_depth: int = MAX_DEPTH, stop_words: tuple[str, ...] = STOP_WORDS, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
+def parse_documents(docs: DataFrame, top_n: int = TOP, stop_words: tuple[str, ...] = STOP_WORDS, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
     """(doc_id, seg_no, file_name, clause_id, level, title, text, parent_clause, keywords, context).
 
     ``docs`` has doc_id (one per document), file_name and text. All steps after the lines' classification
@@ -31,6 +31,6 @@ def parse_documents(docs: DataFrame, top_n: int = TOP, max_depth: int = MAX_DEPT
     named = F.coalesce(F.col("file_name"), F.lit(""))
     # the name travels on each document's lines, so no join is needed
     lines = explode_lines(docs.select("doc_id", F.struct("doc_id", named.alias("file_name")).alias("doc"), clean_text("text").alias("text")).withColumn("doc_id", F.col("doc")).drop("doc"))
-    segments = with_parents(group_lines(classify(lines)), max_depth)
+    segments = with_parents(group_lines(classify(lines)))
     segments = with_keywords(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
     return segments.select(F.col("doc_id.doc_id").alias("doc_id"), "seg_no", F.col("doc_id.file_name").alias("file_name"), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")

@@ -13,7 +13,7 @@ from clauseloom.functions.text import clean_text
 from clauseloom.operators.segments import group_lines
 from clauseloom.plans.parse import classified_lines, parse_documents, segment_documents
 from clauseloom.sources import documents as io
-from clauseloom.sources.corpus import policies
+from clauseloom.sources.corpus import policies, rendered
 from clauseloom.streaming.segments import segment_stream
 
 CORE = ("doc_id", "seg_no", "clause_id", "level", "title", "text")
@@ -46,7 +46,7 @@ def segment_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the documents as they are and as rendered."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    raw = io.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = [group_lines(classified_lines(docs)).where("clause_id like 'PREAMBLE-%'").select(F.lit(name).alias("corpus"), "doc_id", "clause_id", "title") for name, docs in (("raw", raw), ("rendered", policies(spark, sf_dir)))]
     return found[0].unionByName(found[1])
 
@@ -81,6 +81,22 @@ def segment_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.preview(segment_documents(policies(spark, sf_dir)))
 
 
+def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON requests, some without a name or a text, and read again; status 200 for those that are accepted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("d"), "doc_id", F.lit(".txt"))).alias("file_name"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("text"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    docs.write.json(path)
+    return io.check_requests(io.read_requests(spark, path)).select("file_name", F.coalesce("status", F.lit(200)).alias("status"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where it is unset and all runs in one process."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that all of them see")
+    return folder or tempfile.mkdtemp(prefix="spark-")
+
+
 def segments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = policies(spark, sf_dir)
     return io.documents_json(io.envelopes(docs, parse_documents(docs)))
@@ -88,17 +104,14 @@ def segments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus read as a stream of files, through foreachBatch; the written segments."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    out = f"{folder}/{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/documents.parquet*")
-    from clauseloom.sources.corpus import rendered
-
     segment_stream(rendered(stream), f"{out}/out", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/out/segments").select(*CORE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (level_counts, clean_documents, line_kinds, heading_vetoes, segments_core, segment_parents, preambles, segment_keywords, segment_context, document_envelope, rejects, segment_preview, segments_json, stream_segments)
+    for f in (level_counts, clean_documents, line_kinds, heading_vetoes, segments_core, segment_parents, preambles, segment_keywords, segment_context, document_envelope, rejects, segment_preview, segments_json, text_requests, stream_segments)
 }

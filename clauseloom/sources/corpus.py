@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.sources.documents import spread
+
 
 def rendered_line(doc_id: Column, i: Column, line: Column) -> Column:
     first = F.array_join(F.slice(F.split(line, " ", -1), 1, 3), " ")
@@ -20,7 +22,16 @@ def rendered_line(doc_id: Column, i: Column, line: Column) -> Column:
         text("2024 ", first, "\n", i + 31, "\n", line),
         text("\t\t", line, "\r\n\n\n\n"),
     ]
-    out, r = line, (doc_id + i) % 10
+    # what looks like a heading but for its spaces, its first character, its length or its colon
+    vetoed = [
+        text(i + 1, ".\u00a0 ", F.lower(first), "\n", line),
+        text(i + 1, " *", first, "\n", line),
+        text(i + 1, " T ", first, " ", first, " ", first, "\n", line),
+        text(i + 1, " Terms:\n", line),
+    ]
+    out, r, q = line, (doc_id + i) % 10, F.floor((doc_id + i) / 10) % 5
+    for k, form in enumerate(vetoed):
+        out = F.when((r == len(forms)) & (q == k), form).otherwise(out)
     for k, form in enumerate(forms):
         out = F.when(r == k, form).otherwise(out)
     return out
@@ -33,4 +44,4 @@ def rendered(docs: DataFrame) -> DataFrame:
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return rendered(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

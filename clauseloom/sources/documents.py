@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import is_blank
@@ -17,6 +17,17 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over as many partitions as there are cores at least; a table of more splits than that stays as it is.
+
+    A small file is one split, and all patterns that lines are matched with would run in one task.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.isStreaming or docs.rdd.getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, file_name, text): whole text files; the id is the path, so that equal names stay apart."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("doc_id"))
@@ -25,12 +36,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, file_name, text, malformed): JSON lines ``{"text": ..., "file_name": ...}``; the name is optional."""
-    return requests(spark.read.schema(REQUEST).option("mode", "PERMISSIVE").json(path))
+    rows = spark.read.schema(REQUEST).option("mode", "PERMISSIVE").json(path)
+    return requests(rows.select("*", F.col("_metadata.file_path").alias("path")))
 
 
 def requests(rows: DataFrame) -> DataFrame:
-    """Requests from rows (text, file_name, _corrupt_record); ids number them, apart in each partition."""
-    return rows.select(F.monotonically_increasing_id().alias("doc_id"), F.coalesce("file_name", F.lit(INLINE_NAME)).alias("file_name"), "text", F.col("_corrupt_record").isNotNull().alias("malformed"))
+    """Requests from a batch of rows (path, text, file_name, _corrupt_record).
+
+    Ids are made from a request's file and content, and number equal requests of one file: they stay the
+    same when a batch runs again, and differ between files.
+    """
+    said = F.to_json(F.struct("path", "text", "file_name", "_corrupt_record"))
+    named = rows.withColumn("_digest", F.sha2(said, 256))
+    number = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+    doc_id = F.concat(F.col("_digest"), F.lit("-"), number).alias("doc_id")
+    return named.select(doc_id, F.coalesce("file_name", F.lit(INLINE_NAME)).alias("file_name"), "text", F.col("_corrupt_record").isNotNull().alias("malformed"))
 
 
 def check_files(docs: DataFrame, extension: str = ".pdf") -> DataFrame:
@@ -73,14 +93,15 @@ def preview(segments: DataFrame, first: int = 5, title: int = 45) -> DataFrame:
     return segments.where(F.col("seg_no") <= first).select("doc_id", "seg_no", "level", "clause_id", F.substring("title", 1, title).alias("title"))
 
 
-def output_name(file_name: Column) -> Column:
-    """``name.ext`` becomes ``name_output.json``; a leading dot starts no extension."""
-    return F.concat(F.regexp_replace(file_name, r"(?<=[^/])\.[^./]*$", ""), F.lit("_output.json"))
+def output_name(file_name: Column, chosen: Column | None = None) -> Column:
+    """``chosen`` where it isn't null; else ``name.ext`` becomes ``name_output.json``. A leading dot starts no extension."""
+    own = F.concat(F.regexp_replace(file_name, r"(?<=[^/])\.[^./]*$", ""), F.lit("_output.json"))
+    return own if chosen is None else F.coalesce(chosen, own)
 
 
-def documents_json(enveloped: DataFrame) -> DataFrame:
+def documents_json(enveloped: DataFrame, chosen: Column | None = None) -> DataFrame:
     """(doc_id, output_name, json): each document's segments as one JSON array; absent parents are left out."""
-    return enveloped.select("doc_id", output_name(F.col("file_name")).alias("output_name"), F.to_json("segments").alias("json"))
+    return enveloped.select("doc_id", output_name(F.col("file_name"), chosen).alias("output_name"), F.to_json("segments").alias("json"))
 
 
 def write_segments(segments: DataFrame, path: str, form: str = "parquet", partitions: int | None = None) -> None:
