@@ -8,32 +8,35 @@ anchor that has several are fetched from their documents and cut, at fixed dista
 into pieces whose strings share one core; pieces with a shared core are suffix-sorted together, and
 equal strings lie side by side there. A string is removed unless it is the first of its kind.
 
-Memory is bounded: an anchor with more than ``MANY`` distinct contexts isn't gathered in one task, its
-pieces are dealt out by core instead.
+No group is gathered whatever its size: equal contexts of a batch are settled before the shuffle, those
+of an anchor as they stream by. An anchor with more than ``MANY`` distinct contexts has its pieces dealt out
+by core instead, and a core with more than ``GATHERED`` bytes of distinct pieces has them cut finer and
+dealt out again, by longer cores, down to single strings.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 from .suffixes import suffix_array
 
 K = 16
-#: Window starts that share a core.
-STEP = 16
+#: Neighbouring strings that share a core, at first and where pieces are cut finer.
+STEP, FINER = 16, 4
 MANY = 20_000  # contexts of one anchor that a task gathers
-#: Bytes that are hashed at once, and that are suffix-sorted together.
-AT_ONCE, SORTED = 1_000_000, 40_000
+#: Bytes that are hashed at once, and that are suffix-sorted together; distinct pieces of one core that are gathered.
+AT_ONCE, SORTED, GATHERED = 1_000_000, 40_000, 400_000
 NO_ID = (1 << 63) - 1
-#: A place packs (copy of the id, start, offset of the anchor, number of strings - 1): 18, 31, 7 and 7 bits.
+#: A place packs (start, offset of the anchor, number of strings - 1): 31, 7 and 7 bits.
 SPAN = 1 << 14
 
 
@@ -90,23 +93,25 @@ def parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield begin, texts[begin:]
 
 
-def pieces(context: bytes, offset: int, count: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+def pieces(context: bytes, offset: int, count: int, length: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
     """(first string, number of strings, step, core) for the strings of a context, cut at fixed distances from the anchor.
 
-    String ``i`` of the context starts ``offset - i`` bytes before the anchor.
+    String ``i`` of the context starts ``offset - i`` bytes before the anchor; ``width`` neighbours share a core.
     """
-    width = length - STEP + 1
     r = offset - count + 1
     while r <= offset:
-        step = r // STEP
-        top = min(offset, STEP * step + STEP - 1)
-        core = offset - STEP * step
-        yield offset - top, top - r + 1, step, context[core : core + width]
+        step = r // width
+        top = min(offset, width * step + width - 1)
+        core = offset - width * step
+        yield offset - top, top - r + 1, step, context[core : core + length - width + 1]
         r = top + 1
 
 
-def distinct_pieces(rows: list[tuple[bytes, int, int, int, int]]) -> tuple[list, list]:
-    """Of pieces (bytes, document, copy, start, number of strings): the first of each bytes, and the others."""
+Piece = tuple[bytes, int, int, int, int, int]  # bytes, document, copy, start, number of strings, offset of the anchor
+
+
+def distinct_pieces(rows: list[Piece]) -> tuple[list[Piece], list[Piece]]:
+    """The first of each bytes, and the others."""
     rows.sort()
     first, others = [], []
     for row in rows:
@@ -114,7 +119,7 @@ def distinct_pieces(rows: list[tuple[bytes, int, int, int, int]]) -> tuple[list,
     return first, others
 
 
-def sorted_repeats(batch: list[tuple[bytes, int, int, int, int]], length: int) -> Iterator[tuple[int, int, int, int]]:
+def sorted_repeats(batch: list[Piece], length: int) -> Iterator[tuple[int, int, int, int]]:
     """Strings of distinct pieces that start earlier in another one: (document, copy, start, 1), by the order of all suffixes."""
     text = b"\0".join(p[0] for p in batch) + b"\0"
     begin = np.cumsum([0] + [len(p[0]) + 1 for p in batch])
@@ -137,22 +142,23 @@ def sorted_repeats(batch: list[tuple[bytes, int, int, int, int]], length: int) -
         if string != before:
             yield from close()
             before, group = string, []
-        _, doc, copy, start, _ = batch[k]
+        _, doc, copy, start, _, _ = batch[k]
         group.append((doc, copy, start + j))
     yield from close()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """Adds ``_doc`` and ``_copy``: documents go by id, those without one last; equal ids by their texts."""
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    copy: Column = F.lit(0)
-    if twice:
-        copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_copy": copy.cast("long")})
+    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return named.withColumn("_copy", F.lit(0).cast("long"))
+    # all rows in ranges of (id, text), so that neither an id nor a repeated row has to fit one task; places there rise with the order
+    tied = named.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange("_doc", "text", "_tie")
+    return written(tied.sortWithinPartitions("_doc", "text", "_tie").withColumn("_copy", F.monotonically_increasing_id()).drop("_tie"))
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, context, doc, at) of all strings of ``length`` bytes.
+    """(anchor, context, doc, copy, at) of all strings of ``length`` bytes.
 
     Of equal contexts in one batch all but the first are settled here: their ``at`` is inverted, and in
     place of the anchor they have a hash of their own, so that frequent passages don't meet in one task.
@@ -170,43 +176,43 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                         continue
                     hashes = np.array([digest(texts[i][j:k]) for i, j, k in zip(of.tolist(), start.tolist(), (start + count - 1 + length).tolist(), strict=True)], np.uint64)
                     own = from_row + begin + of
-                    at = copies[own] << 45 | start << 14 | offset << 7 | (count - 1)
-                    order = np.lexsort((at, ids[own], hashes, anchor))
+                    at = start << 14 | offset << 7 | (count - 1)
+                    order = np.lexsort((at, copies[own], ids[own], hashes, anchor))
                     again = order[1:][(np.diff(anchor[order]) == 0) & (hashes[order[1:]] == hashes[order[:-1]])]
-                    anchor[again] = hashed(ids[own[again]] ^ at[again])
+                    anchor[again] = hashed(ids[own[again]] ^ copies[own[again]] ^ at[again])
                     at[again] = ~at[again]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(hashes.view(np.int64)), pa.array(ids[own]), pa.array(at)], ["anchor", "context", "doc", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, hashes.view(np.int64), ids[own], copies[own], at)], ["anchor", "context", "doc", "copy", "at"])
 
-    return docs.select("_doc", "_copy", "text").mapInArrow(run, "anchor long, context long, doc long, at long")
+    return mapped(docs.select("_doc", "_copy", "text"), run, "anchor long, context long, doc long, copy long, at long")
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(anchor, doc, at, kind): 0 an equal context comes before, 1 a first context beside others of its anchor, 2 beside very many."""
-    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "at")
+    """(anchor, doc, copy, at, kind): 0 an equal context comes before, 1 a first context beside others of its anchor, 2 beside very many."""
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "copy", "at")
 
-    def rows(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(at), pa.array(np.full(len(at), kind, np.int32))], ["anchor", "doc", "at", "kind"])
+    def rows(columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(columns[0]), kind, np.int32))], ["anchor", "doc", "copy", "at", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [np.zeros(0, np.int64)] * 3
+        none = [np.zeros(0, np.int64)] * 4
         held, last, many = none, None, None  # first contexts of the last anchor; the last row; the last anchor if it has very many
         for batch in batches:
             if not len(batch):
                 continue
-            a, c, d, p = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            a, c, d, n, p = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             settled = p < 0
             if settled.any():
-                yield rows(a[settled], d[settled], ~p[settled], 0)
-                a, c, d, p = (x[~settled] for x in (a, c, d, p))
+                yield rows([a[settled], d[settled], n[settled], ~p[settled]], 0)
+                a, c, d, n, p = (x[~settled] for x in (a, c, d, n, p))
                 if not len(a):
                     continue
             new = np.concatenate([[last is None or last != (a[0], c[0])], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
             last = (a[-1], c[-1])
-            yield rows(a[~new], d[~new], p[~new], 0)
-            firsts = [x[new] for x in (a, d, p)]
+            yield rows([x[~new] for x in (a, d, n, p)], 0)
+            firsts = [x[new] for x in (a, d, n, p)]
             if many is not None:
                 wide = firsts[0] == many
-                yield rows(*[x[wide] for x in firsts], 2)
+                yield rows([x[wide] for x in firsts], 2)
                 firsts = [x[~wide] for x in firsts]
                 if a[-1] != many:
                     many = None
@@ -218,19 +224,35 @@ def classes(found: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.diff(done[0])) + 1
             sizes = np.diff(np.concatenate([[0], edge, [cut_at]])) if cut_at else np.zeros(0, np.int64)
             several = np.repeat(sizes > 1, sizes)
-            yield rows(*[x[several] for x in done], 1)
+            yield rows([x[several] for x in done], 1)
             if len(held[0]) > MANY:
-                yield rows(*held, 2)
+                yield rows(held, 2)
                 held, many = none, held[0][0]
         if len(held[0]) > 1:
-            yield rows(*held, 1)
+            yield rows(held, 1)
+
+    return mapped(dealt, run, "anchor long, doc long, copy long, at long, kind int")
+
+
+PIECES = "key long, width int, doc long, copy long, at long, bytes binary"
+
+
+def dealt_out(context: bytes, doc: int, copy: int, at: int, length: int, width: int) -> Iterator[tuple]:
+    """Rows of PIECES: the pieces of a context, under the hash of their core."""
+    start, offset, count = at >> 14, at >> 7 & 127, (at & 127) + 1
+    for i, n, step, core in pieces(context, offset, count, length, width):
+        yield xxhash.xxh3_64_intdigest(core, step) - (1 << 63), width, doc, copy, (start + i) << 14 | (offset - i) << 7 | (n - 1), context[i : i + n - 1 + length]
+
 
-    return dealt.mapInArrow(run, "anchor long, doc long, at long, kind int")
+def piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    key, width, doc, copy, at, data = zip(*rows, strict=True)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((key, width, doc, copy, at, data), types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, doc, at, bytes): the contexts of kinds 1 and 2; those of kind 2 in pieces, under keys of their own."""
-    lists = wanted.groupBy("doc", F.shiftright("at", 45).alias("copy")).agg(F.collect_list(F.struct("anchor", "at", "kind")).alias("wanted"))
+    """Rows of PIECES: whole contexts of kind 1 under their anchor (width 0), and pieces of those of kind 2."""
+    lists = wanted.groupBy("doc", "copy").agg(F.collect_list(F.struct("anchor", "at", "kind")).alias("wanted"))
     joined = docs.select("_doc", "_copy", "text").join(lists, (F.col("_doc") == F.col("doc")) & (F.col("_copy") == F.col("copy")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,71 +260,147 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for row in range(0, len(batch), 200):
                 out: list[tuple] = []
                 part = batch.slice(row, 200)
-                for doc, text, own in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
+                for doc, copy, text, own in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
                     data = text.encode("utf-8", "replace")
                     for w in own:
                         at = w["at"]
-                        start, offset, count = at >> 14 & (1 << 31) - 1, at >> 7 & 127, (at & 127) + 1
+                        start, count = at >> 14, (at & 127) + 1
                         context = data[start : start + count - 1 + length]
                         if w["kind"] == 1:
-                            out.append((w["anchor"], doc, at, context))
+                            out.append((w["anchor"], 0, doc, copy, at, context))
                         else:
-                            for i, n, step, core in pieces(context, offset, count, length):
-                                key = xxhash.xxh3_64_intdigest(core, step) - (1 << 63)
-                                out.append((key, doc, (at >> 45) << 45 | (start + i) << 14 | (offset - i) << 7 | (n - 1), context[i : i + n - 1 + length]))
-                if out:
-                    key, doc, at, data = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())], ["key", "doc", "at", "bytes"])
+                            out += dealt_out(context, doc, copy, at, length, STEP)
+                for k in range(0, len(out), 20_000):
+                    yield piece_rows(out[k : k + 20_000])
 
-    return joined.select("doc", "text", "wanted").mapInArrow(run, "key long, doc long, at long, bytes binary")
+    return mapped(joined.select("doc", "copy", "text", "wanted"), run, PIECES)
 
 
 def ordered(found: DataFrame, length: int) -> DataFrame:
-    """(doc, copy, start, stop): repeated strings among the contexts of each key."""
-    dealt = found.repartition("key").sortWithinPartitions("key", "doc", "at")
-
-    def cores(rows: list[tuple[int, int, bytes]]) -> dict[tuple[int, bytes], list]:
-        out = defaultdict(list)
-        for doc, at, context in rows:
-            start, offset, count = at >> 14 & (1 << 31) - 1, at >> 7 & 127, (at & 127) + 1
-            for i, n, step, core in pieces(context, offset, count, length):
-                out[step, core].append((context[i : i + n - 1 + length], doc, at >> 45, start + i, n))
-        return out
+    """(doc, copy, start, stop) of repeated strings among the pieces of each key; where ``bytes`` isn't null, a row of PIECES to be dealt out again."""
+    dealt = found.repartition("key", "width").sortWithinPartitions("key", "width", "bytes", "doc", "copy", "at")
+    names = [*(x.split()[0] for x in PIECES.split(", ")), "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, waiting, size, out = None, [], [], 0, []
+        waiting: list[Piece] = []  # distinct pieces to be suffix-sorted; a batch may hold several cores
+        size, out, again = 0, [], []
 
-        def close(final: bool = False) -> None:
+        def sort_waiting() -> None:
             nonlocal waiting, size
-            for rows in cores(group).values():
-                if len(rows) > 1:
-                    first, others = distinct_pieces(rows)
-                    out.extend((d, c, s, n) for _, d, c, s, n in others)
-                    if len(first) > 1:
-                        waiting += first
-                        size += sum(len(r[0]) for r in first)
-            if size > SORTED or final and waiting:
-                out.extend(sorted_repeats(waiting, length))
-                waiting, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            doc, copy, start, n = (np.array(x, np.int64) for x in zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(copy), pa.array(start), pa.array(start + n - 1 + length)], ["doc", "copy", "start", "stop"])
-
-        for batch in batches:
-            for k, doc, at, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if k != key:
-                    close()
-                    key, group = k, []
-                group.append((doc, at, data))
+            out.extend(sorted_repeats(waiting, length))
+            waiting, size = [], 0
+
+        def by_core(rows: list[Piece], width: int) -> None:
+            cores = defaultdict(list)
+            for context, doc, copy, start, count, offset in rows:
+                for i, n, step, core in pieces(context, offset, count, length, width):
+                    cores[step, core].append((context[i : i + n - 1 + length], doc, copy, start + i, n, offset - i))
+            for own in cores.values():
+                if len(own) > 1:
+                    first, others = distinct_pieces(own)
+                    out.extend(x[1:5] for x in others)
+                    settle(first, width)
+
+        def settle(first: list[Piece], width: int) -> None:
+            """Distinct pieces of one core."""
+            nonlocal size
+            if len(first) < 2:
+                return
+            more = sum(len(x[0]) for x in first)
+            if more > GATHERED and width > 1:
+                by_core(first, width // FINER)
+                return
+            waiting.extend(first)
+            size += more
+            if size > SORTED:
+                sort_waiting()
+
+        def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                yield flush()
-        close(final=True)
-        if out:
-            yield flush()
+                doc, copy, start, n = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                none = pa.nulls(len(doc), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.nulls(len(doc), pa.int32()), pa.array(doc), pa.array(copy), none, pa.nulls(len(doc), pa.binary()), pa.array(start), pa.array(start + n - 1 + length)], names)
+                out.clear()
+            for k in range(0, len(again), 20_000):
+                rows = piece_rows(again[k : k + 20_000])
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*rows.columns, none, none], names)
+            again.clear()
+
+        now, group, gathered, many = (None, None), [], 0, False
+        for batch in batches:
+            for key, width, doc, copy, at, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, width) != now:
+                    if now[1]:
+                        settle(group, now[1])
+                    else:  # whole contexts of an anchor, MANY at most
+                        by_core(group, STEP)
+                    now, group, gathered, many, last = (key, width), [], 0, False, None
+                row = (data, doc, copy, at >> 14, (at & 127) + 1, at >> 7 & 127)
+                if width and data == last:
+                    out.append(row[1:5])
+                    continue
+                last = data
+                if many:
+                    again += dealt_out(data, doc, copy, at, length, width // FINER)
+                    continue
+                group.append(row)
+                gathered += len(data)
+                if width > 1 and gathered > GATHERED:
+                    many = True
+                    for x in group:
+                        again += dealt_out(x[0], x[1], x[2], x[3] << 14 | x[5] << 7 | (x[4] - 1), length, width // FINER)
+                    group = []
+            yield from flush()
+        if now[1]:
+            settle(group, now[1])
+        else:
+            by_core(group, STEP)
+        if waiting:
+            sort_waiting()
+        yield from flush()
+
+    return mapped(dealt, run, f"{PIECES}, start long, stop long")
+
+
+def repeats(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc, copy, start, stop) of repeated strings among the contexts of kinds 1 and 2."""
+    found, out = written(ordered(fetched(docs, wanted, length), length)), []
+    while True:  # widths go down to 1, whose pieces are single strings
+        out.append(found.where("bytes is null").select("doc", "copy", "start", "stop"))
+        again = found.where("bytes is not null").select(*[x.split()[0] for x in PIECES.split(", ")])
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        found = written(ordered(again, length))
+
+
+def joined_spans(docs: DataFrame, length: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, _text and _spans (array of long, packed start and size; null if nothing goes) for each row."""
+    named = numbered(docs.select(F.struct(*keep).alias("_own"), "doc_id", "text"))
+    found = written(classes(contexts(named, length)))
+    start = F.shiftright("at", 14)
+    whole = found.where("kind = 0").select("doc", "copy", start.alias("start"), (start + F.col("at").bitwiseAND(127) + length).alias("stop"))
+    spans = whole.unionByName(repeats(named, found.where("kind > 0"), length))
+    spans = spans.groupBy("doc", "copy").agg(F.collect_list(F.shiftleft("start", 14) + (F.col("stop") - F.col("start"))).alias("spans"))
+    joined = named.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_copy") == F.col("copy")), "left")
+    return joined.select("_own.*", F.col("text").alias("_text"), F.col("spans").alias("_spans"))
+
+
+def merged(spans: list[int] | None) -> list[list[int]]:
+    """Packed spans as runs (start, stop), overlapping and touching ones joined."""
+    out: list[list[int]] = []
+    for x in sorted(spans or ()):
+        i, j = x >> 14, (x >> 14) + (x & SPAN - 1)
+        if out and i <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], j)
+        else:
+            out.append([i, j])
+    return out
 
-    return dealt.mapInArrow(run, "doc long, copy long, start long, stop long")
+
+def without(data: bytes, runs: list[list[int]]) -> bytes:
+    edges = [0, *[e for run in runs for e in run], len(data)]
+    return b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
 
 
 def without_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -313,54 +411,40 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] =
     documents of their own, in the order of their texts. Null texts are empty; texts under ``length``
     bytes stay whole; other columns are ignored; an empty table gives an empty result.
     """
-    named = numbered(docs).select(F.struct(*keep).alias("_own"), "doc_id", "_doc", "_copy", "text")
-    found = written(classes(contexts(named, length)))
-    start = F.shiftright("at", 14).bitwiseAND((1 << 31) - 1)
-    whole = found.where("kind = 0").select("doc", F.shiftright("at", 45).alias("copy"), start.alias("start"), (start + F.col("at").bitwiseAND(127) + length).alias("stop"))
-    spans = whole.unionByName(ordered(fetched(named, found.where("kind > 0"), length), length))
-    spans = spans.groupBy("doc", "copy").agg(F.collect_list(F.shiftleft("start", 14) + (F.col("stop") - F.col("start"))).alias("spans"))
-    joined = named.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_copy") == F.col("copy")), "left")
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(0, len(batch), 500):
                 part = batch.slice(row, 500)
-                sizes, gone, all_spans, kept = [], [], [], []
-                for text, own in zip(*[part.column(len(keep) + i).to_pylist() for i in (0, 1)], strict=True):
-                    data = (text or "").encode("utf-8", "replace")
-                    merged: list[list[int]] = []
-                    for x in sorted(own or ()):
-                        i, j = x >> 14, (x >> 14) + (x & SPAN - 1)
-                        if merged and i <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], j)
-                        else:
-                            merged.append([i, j])
-                    edges = [0, *[e for m in merged for e in m], len(data)]
-                    kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-                    sizes.append(len(data))
-                    gone.append(len(data) - len(kept[-1]))
-                    all_spans.append([{"start": i, "stop": j} for i, j in merged])
-                spans = pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), spans, pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "spans", "kept"])
+                data = [(t or "").encode("utf-8", "replace") for t in part.column(len(keep)).to_pylist()]
+                runs = [merged(s) for s in part.column(len(keep) + 1).to_pylist()]
+                kept = [without(d, r) for d, r in zip(data, runs, strict=True)]
+                gone = [len(d) - len(k) for d, k in zip(data, kept, strict=True)]
+                spans = pa.array([[{"start": i, "stop": j} for i, j in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(map(len, data), pa.int64()), pa.array(gone, pa.int64()), spans, pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "spans", "kept"])
 
     schema = f"{types}, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary"
-    return joined.select("_own.*", F.col("text").alias("_text"), F.col("spans").alias("_spans")).mapInArrow(run, schema)
+    return mapped(joined_spans(docs, length, keep), run, schema)
 
 
 def without_passages(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``docs`` with repeated strings cut from ``text``; a character that loses a byte goes (``n_chars`` is set anew)."""
+    """``docs`` with repeated strings cut from ``text``; a character that loses a byte goes (``n_chars`` is set anew).
+
+    Every row stays, null texts as null; what counts as repeated: see :func:`without_repeats`.
+    """
     names = docs.columns
-    out = without_repeats(docs, length, keep=tuple(names))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old, kept = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            texts = pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(old, kept, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns[: len(names)])], names)
+            for row in range(0, len(batch), 500):
+                part = batch.slice(row, 500)
+                texts, spans = (part.column(len(names) + i).to_pylist() for i in (0, 1))
+                texts = [without(t.encode("utf-8", "replace"), merged(s)).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans, strict=True)]
+                columns = dict(zip(names, part.columns, strict=False)) | {"text": pa.array(texts, pa.string())}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    out = out.select(*names, "kept").mapInArrow(decode, docs.schema)
+    out = mapped(joined_spans(docs, length, tuple(names)), run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
