@@ -8,7 +8,7 @@ a worker doesn't know yet share one linked list and one queue, so that a bucket'
 at once with numpy.
 
 Texts are cut at lone spaces before the pattern runs: with a pattern of the usual byte-level kind no
-match reaches over such a cut. Pieces repeat a lot, so each worker keeps a bounded table of encoded
+match reaches over such a cut. Pieces repeat a lot, so each task keeps a bounded table of encoded
 pieces; the table changes the speed only.
 """
 
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 WORD_BITS = 256
-#: Encoded pieces and pair ranks that a worker remembers at most, before it starts anew.
-REMEMBERED = 200_000
+#: Encoded pieces and pair ranks that a task remembers at most, before it starts anew.
+REMEMBERED = 150_000
 #: So few matches are merged one by one.
 FEW = 50
 #: Characters of text that are encoded at once, but for one text at least.
@@ -227,6 +229,12 @@ class BytePairEncoder:
             i = after[i]
         return out
 
+    def forget(self) -> None:
+        """Empties the tables of pieces and pairs; a worker that is used again keeps the vocabulary alone."""
+        self.pieces.clear()
+        self.matches.clear()
+        self.pairs.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as packed little-endian 32-bit integers."""
         if len(self.pieces) > REMEMBERED:
@@ -295,6 +303,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(path, pattern)
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            encoder.forget()
+
+    def encoded(encoder: BytePairEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(len(keep))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             turn = (np.cumsum(sizes) - sizes) // AT_ONCE
@@ -305,7 +319,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, "ids"])
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, F.col(text)), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -321,4 +335,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
                 texts = encoder.decode(part.column(len(keep))).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], texts], [*keep, "decoded"])
 
-    return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, schema)
+    return mapped(encoded.select(*keep, F.col("ids").alias("_ids")), run, schema)

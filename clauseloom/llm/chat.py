@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (START, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _HEADS = sorted({c[0] for c in CONTROL})
@@ -139,7 +141,7 @@ def format_chats(turns: DataFrame, learned: str = "assistant", max_turns: int =
         if held is not None and len(held):
             yield flush(held, part)
 
-    return dealt.mapInArrow(run, PARTS)
+    return mapped(dealt, run, PARTS)
 
 
 def read_back(parts: DataFrame, learned: str = "assistant") -> DataFrame:
@@ -175,4 +177,4 @@ def read_back(parts: DataFrame, learned: str = "assistant") -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*plain, strict=True), types, strict=True)], names)
 
-    return parts.mapInArrow(run, schema)
+    return mapped(parts, run, schema)

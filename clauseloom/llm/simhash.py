@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, mapped
 from .components import components
 
 BITS = 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: Col
                 prints = [fingerprint(t, **options) for t in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(prints, pa.int64())], schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, text), run, schema)
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -214,9 +214,9 @@ def links(prints: DataFrame, max_distance: int = 4) -> DataFrame:
             held = [r[last:] for r in rows]
         yield from found(held)
 
-    dealt = prints.select("fingerprint").mapInArrow(spread, "key long, probing boolean, fingerprint long")
+    dealt = mapped(prints.select("fingerprint"), spread, "key long, probing boolean, fingerprint long")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "probing", "fingerprint")
-    return dealt.mapInArrow(meet, "a long, b long")
+    return mapped(dealt, meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), max_distance: int = 4) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 
 PER_CLASS = 6000
 #: Letters of the trigram model; 0 is the space between words and the last code any other character.
@@ -40,7 +40,7 @@ SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\w)")
 GAP = re.compile(r"\s+")
 #: Between the letters of a spaced token: as wide as any of its gaps, or wider than the narrowest.
 NARROW, WIDE = " ", "\n"
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Letters in the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -70,7 +70,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(docs.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(V**3, np.float64)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return out.reshape(V, V, V)
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_ra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.int64())], ["doc_id", "toxic", "copy_of"])
 
     # of near copies, which share their least shingle mostly, one counts
-    apart = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(mark, "doc_id long, toxic int, copy_of long")
+    apart = mapped(texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), mark, "doc_id long, toxic int, copy_of long")
     apart = apart.groupBy("copy_of", "toxic").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(F.broadcast(cut(apart)), "doc_id").select("toxic", "text")
 
@@ -200,13 +200,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_ra
                 own: set[str] = {""}  # counts documents
                 for t in tokens_of(text or ""):
                     if t not in known:
+                        if len(known) > REMEMBERED:
+                            known.clear()
                         known[t] = features_of(t, restorer)
                     own.update(known[t])
                 found[toxic].update(own)
         names = list(found[0] | found[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([f[x] for x in names], pa.int64()) for f in found]], ["feature", "clean", "toxic"])
 
-    sums = texts.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = mapped(texts, count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sums = cut(sums)
     total = sums.where("feature = ''").select("clean", "toxic").first()
     if total is None or not total["toxic"] or not total["clean"]:
@@ -219,12 +221,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_ra
     rows = sums.where((F.col("feature") != "") & (F.col("toxic") > 1) & (rate >= min_rate) & (gain >= math.log(sums.count()))).select("feature", rate.alias("rate"), gain.alias("gain")).collect()
     # of a beginning and the longer features under it the stronger one stays
     best = {r["feature"]: (round(r["gain"], 6), r["feature"].endswith("~"), len(r["feature"]), r["feature"]) for r in rows}
-    rates = {}
+    rates, under = {}, {}
+    for f, g in best.items():
+        for k in BEGINNINGS:
+            if len(f.rstrip("~")) >= k:
+                under[f"{f[:k]}~"] = max(g, under.get(f"{f[:k]}~", g))
     for r in rows:
         own = r["feature"]
         above = [best[x] for x in features(own.rstrip("~")) if x in best]
-        below = [g for f, g in best.items() if own.endswith("~") and f.startswith(own[:-1])]
-        if max(above + below + [best[own]]) == best[own]:
+        if max([*above, best[own], under.get(own, best[own])]) == best[own]:
             rates[own] = r["rate"]
     return counts, rates, 0.02
 
@@ -265,7 +270,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
                 scores.append(1.0 - clean)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, name])
 
-    return docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep)).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep)), run, schema)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
