@@ -3,8 +3,9 @@
 The mix is a sequence of slots. Slot ``i`` has the golden-ratio point ``frac((i + 1) * phi)``; the
 point falls into one source's share of the cumulative target weights, so that every stretch of the
 schedule holds the sources nearly in proportion. The ``k``-th slot of a source takes that source's
-``k``-th block. A source's blocks are cut, all of one length, from its shuffled documents laid end to
-end (and again from the start, up to ``max_epochs`` times).
+``k``-th block. Blocks have one length over all sources; they are cut from a source's shuffled documents
+laid end to end (and again from the start, up to ``max_epochs`` times). A source's last block ends with
+its target. What a document gives to the mix are its words in blocks that have a slot.
 
 Only DataFrame functions are used. Running totals over a source and ranks over the schedule are taken
 in two levels (within hash buckets or slot chunks, and over their totals), so no window partition
@@ -53,8 +54,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_ep
 def slots(mixed: DataFrame, n_slots: int, cells: int = 4096, chunk_bits: int = 16) -> DataFrame:
     """(slot, src, block): the schedule; ``block`` is the slot's rank within its source.
 
-    ``mixed`` has (src, target). Each source with a target gets at least one slot: those that no point
-    hits get one behind the last slot.
+    ``mixed`` has (src, target, n_blocks). Points beyond a source's blocks are passed over; the few blocks that
+    the first ``n_slots`` points leave out (no more than the sequence's discrepancy, which grows with the
+    logarithm of its length) stand behind them.
     """
     spark = mixed.sparkSession
     ahead = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
@@ -65,20 +67,28 @@ def slots(mixed: DataFrame, n_slots: int, cells: int = 4096, chunk_bits: int = 1
     shares = shares.withColumn("high", F.when(F.col("src") == last, F.lit(2.0)).otherwise(F.col("high")))
     # each share is listed under the cells of [0, 1) that it meets, so that points find it by an equi-join
     cell = lambda c: F.least(F.floor(F.col(c) * cells), F.lit(cells - 1)).cast("long")
-    shares = shares.select("src", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
+    shares = shares.select("src", "n_blocks", "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     part = lambda c, f: F.col(c) * F.lit(f)
     points = spark.range(n_slots).withColumns({"hi": F.shiftright("id", 20), "lo": (F.col("id") + 1) - F.shiftleft(F.shiftright("id", 20), 20)})
     points = points.withColumn("point", F.pmod(part("hi", GOLDEN_20) + part("lo", GOLDEN), F.lit(1.0)))
     points = points.select(F.col("id").alias("slot"), "point", F.least(F.floor(F.col("point") * cells), F.lit(cells - 1)).cast("long").alias("cell"))
-    hit = points.join(shares, "cell").where("low <= point and point < high").select("slot", "src")
-    missed = mixed.where("target > 0").select("src").join(hit.select("src").distinct(), "src", "left_anti")
-    hit = hit.unionByName(missed.select((F.col("src") + n_slots).cast("long").alias("slot"), "src"))
+    hit = points.join(shares, "cell").where("low <= point and point < high").select("slot", "src", "n_blocks")
     hit = hit.withColumn("chunk", F.shiftright("slot", chunk_bits))
     counts = hit.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
     over = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("src", "chunk", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier"))
+    before = counts.select("src", "chunk", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1
-    return hit.withColumn("rank", rank).join(counts, ["src", "chunk"]).select("slot", "src", (F.col("earlier") + F.col("rank")).alias("block"))
+    ranked = hit.withColumn("rank", rank).join(before, ["src", "chunk"]).withColumn("block", (F.col("earlier") + F.col("rank")).cast("long"))
+    placed = ranked.where("block < n_blocks").select("slot", "src", "block")
+    short = mixed.join(counts.groupBy("src").agg(F.sum("n").alias("n")), "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < n_blocks")
+    late = short.select("src", F.explode(F.sequence("n", F.col("n_blocks") - 1)).alias("block"))
+    slot = F.row_number().over(Window.orderBy("block", "src")) - 1 + n_slots  # of the few blocks left out
+    return placed.unionByName(late.select(slot.cast("long").alias("slot"), "src", F.col("block").cast("long").alias("block")))
+
+
+def turn_of(ids: list[Column], seed: int) -> Column:
+    """Where a row stands in the shuffled order of its source: 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in ids]))
 
 
 def schedule(
@@ -89,7 +99,6 @@ def schedule(
     share: float = 1.0,
     max_epochs: int = 3,
     block_words: int = 1024,
-    buckets: int = 4096,
     seed: int = 17,
 ) -> DataFrame:
     """The mix of ``docs`` (text, source and the columns ``keep``), one row per piece of a document.
@@ -97,8 +106,8 @@ def schedule(
     ``size`` stands for the number of words of the text, where that is known.
 
     Returns ``keep``, row_id (struct; names the input row), source, size, source_size, target, and for
-    a piece: slot, block, epoch, from_word, n_words. A document that the mix takes nothing of has one
-    row whose slot is null and whose n_words is 0.
+    a piece: slot, block, epoch, from_word, n_words. Pieces without a slot, and the one row of a document that
+    isn't reached, have no slot and 0 words.
 
     Null text has size 0, null source is a source of its own, repeated rows and ids stay separate rows
     and count each. Documents without words and sources without words take nothing. An empty table
@@ -106,42 +115,38 @@ def schedule(
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("src_key")
     ids = [F.col(c) for c in keep]
-    sized = docs.select(*ids, "source", key, (words() if size is None else size).alias("size"), F.xxhash64(F.lit(seed), *ids).alias("turn"))
-    sized = cut(sized.withColumn("bucket", F.pmod(F.xxhash64("turn"), F.lit(buckets))))
+    sized = docs.select(*ids, "source", key, (words() if size is None else size).alias("size"), turn_of(ids, seed).alias("turn"))
+    # buckets go by the first digits, so that their order is that of the turns
+    sized = cut(sized.withColumn("bucket", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int")))
     sums = sized.groupBy("src_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
-    mixed = cut(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs))
-    n = mixed.agg(F.coalesce(F.ceil(F.sum("target") / block_words), F.lit(0)).cast("long")).first()[0]
-    order = slots(mixed.select("src", "target"), n)
-    blocks = order.groupBy("src").agg(F.count(F.lit(1)).alias("n_blocks"))
-    line = mixed.join(blocks, "src", "left").withColumn("line", F.round("target").cast("long"))
+    mixed = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
+    mixed = mixed.withColumn("line", F.round("target").cast("long"))
+    mixed = cut(mixed.withColumn("n_blocks", F.ceil(F.col("line") / block_words).cast("long")))
+    n = mixed.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    order = slots(mixed.select("src", "target", "n_blocks"), n)
 
     over = Window.partitionBy("src_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src_key", "bucket", F.coalesce(F.sum("bucket_size").over(over), F.lit(0)).alias("bucket_at"))
     within = Window.partitionBy("src_key", "bucket").orderBy("turn", *ids, "size")
     placed = sized.withColumns({"row_no": F.row_number().over(within), "at": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     placed = placed.join(sums, ["src_key", "bucket"]).withColumn("at", F.col("at") + F.col("bucket_at"))
-    line = line.withColumn("src_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
+    line = mixed.withColumn("src_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     placed = placed.join(line, "src_key")
-
-    step = F.col("line") / F.col("n_blocks")
-    edge = lambda k: F.floor(k * step).cast("long")
+    block = lambda at: ((at - at % block_words) / block_words).cast("long")
 
     def pieces(epoch: Column) -> Column:
         start = epoch * F.col("source_size") + F.col("at")
         stop = F.least(start + F.col("size"), F.col("line"))
-        first = F.greatest(F.floor(start / step) - 1, F.lit(0)).cast("long")
-        final = F.least(F.floor(stop / step) + 1, F.col("n_blocks") - 1).cast("long")
-        # the last block ends with the line whatever the division rounds to
-        end = lambda k: F.when(k + 1 == F.col("n_blocks"), F.col("line")).otherwise(edge(k + 1))
-        piece = lambda k: F.struct(k.alias("block"), epoch.alias("epoch"), (F.greatest(start, edge(k)) - start).alias("from_word"), (F.least(stop, end(k)) - F.greatest(start, edge(k))).alias("n_words"))
-        return F.when((stop > start) & (F.col("size") > 0), F.filter(F.transform(F.sequence(first, final), piece), lambda p: p["n_words"] > 0))
+        piece = lambda k: F.struct(k.alias("block"), epoch.alias("epoch"), (F.greatest(start, k * block_words) - start).alias("from_word"), (F.least(stop, (k + 1) * block_words) - F.greatest(start, k * block_words)).alias("n_words"))
+        return F.when((stop > start) & (F.col("size") > 0), F.transform(F.sequence(block(start), block(stop - 1)), piece))
 
     empty = F.array().cast("array<struct<block:bigint,epoch:bigint,from_word:bigint,n_words:bigint>>")
     cutting = F.flatten(F.array(*[F.coalesce(pieces(F.lit(e).cast("long")), empty) for e in range(max_epochs)]))
     row = F.struct("src", "bucket", "row_no").alias("row_id")
     cut_up = placed.select(*keep, row, "source", "src", "size", "source_size", "target", F.inline_outer(cutting))
     out = cut_up.join(order, ["src", "block"], "left")
-    return out.select(*keep, "row_id", "source", "size", "source_size", "target", "slot", "block", "epoch", "from_word", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
+    n_words = F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_words")
+    return out.select(*keep, "row_id", "source", "size", "source_size", "target", "slot", "block", "epoch", "from_word", n_words)
 
 
 def taken(mix: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -149,26 +154,30 @@ def taken(mix: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return mix.groupBy(*keep, "row_id", "source", "size", "source_size", "target").agg(F.sum("n_words").cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``: a row for each time one is taken.
+def mixed_documents(docs: DataFrame, name: str | None = None, **options: object) -> DataFrame:
+    """The documents of the mix in the schedule's order, with the columns of ``docs``: a row for each time one is taken.
 
-    A document at the end of its source's line is cut behind the last word taken (``n_chars``, where
-    the table has it, is set anew); all others keep their whole texts. Rows that agree in doc_id and
-    text count once.
+    A document stands at the slot of its first word; ``name`` adds the slot as a column. Each partition
+    holds one stretch of the schedule, in order. A document at the end of its source's line is cut behind
+    the last word taken (``n_chars``, where the table has it, is set anew); all others keep their whole
+    texts. Repeated rows count each; documents that the mix takes nothing of, as those without words, have
+    no row; an empty table gives an empty result.
     """
     key = ["_key", "_key2"]
-    named = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_key2": F.xxhash64(F.lit(1), "text", "doc_id")})
-    once = named.select(*key, "source", words().alias("_size")).groupBy(*key).agg(F.min("source").alias("source"), F.first("_size").alias("_size"))
-    mix = schedule(once, keep=tuple(key), size=F.col("_size"), **options)
-    times = mix.where("n_words > 0").groupBy(*key, "row_id", "size", "epoch").agg(F.sum("n_words").alias("_taken"))
-    times = times.select(*key, F.when(F.col("_taken") < F.col("size"), F.col("_taken")).alias("_cut"))
-    times = times.groupBy(*key).agg(F.collect_list(F.coalesce("_cut", F.lit(-1))).alias("_cuts"))  # max_epochs entries at most
+    named = docs.withColumns({"_key": F.xxhash64("doc_id", "text", "source"), "_key2": F.xxhash64(F.lit(1), "source", "text", "doc_id")})
+    mix = schedule(named.select(*key, "source", "text"), keep=tuple(key), **options)
+    times = mix.where("n_words > 0").groupBy(*key, "row_id", "size", "epoch").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("slot"))
+    times = times.groupBy(*key, "row_id").agg(F.collect_list(F.struct(F.col("slot").alias("_slot"), F.when(F.col("taken") < F.col("size"), F.col("taken")).alias("_cut"))).alias("_times"))  # max_epochs entries at most
+    row = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("_row")
+    times = cut(times.select(*key, row("row_id"), "_times"))
+    n_slots = times.select(F.max(F.array_max("_times._slot"))).first()[0]
     # the rank needs the rows of a key together and in order, as the join does
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("_key"))
-    joined = named.withColumn("_row", first).where("_row = 1").join(times, key)
-    joined = joined.withColumn("_cut", F.explode("_cuts"))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_cut"), F.lit(0)).cast("int")), "")
-    out = joined.withColumn("text", F.when(F.col("_cut") > 0, head).otherwise(F.col("text")))
+    joined = named.select("*", row("_key")).join(times, [*key, "_row"]).select("*", F.inline("_times"))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.coalesce("_cut", F.lit(0)).cast("int")), "")
+    out = joined.withColumn("text", F.when(F.col("_cut").isNotNull(), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.floor(F.col("_slot") * parts / F.lit((n_slots or 0) + 1)).cast("int")
+    out = out.repartitionById(parts, stretch).sortWithinPartitions("_slot", *key)
+    return out.select(*docs.columns, *([F.col("_slot").alias(name)] if name else []))
