@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, forest, html_text, mixing, passages, quality, simhash, substrings, toxicity
 from .common import table
+from .oracle import ORACLES  # noqa: F401
 
 
 VOCABULARY = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -80,5 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {}
