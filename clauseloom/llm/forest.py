@@ -6,8 +6,9 @@ under the shortened prefixes are scored. Nothing caps the candidates: a query st
 chance that a row as near as its current ``k``-th was missed by all trees is at most ``miss``; near the
 root that is the whole block.
 
-Rows and queries are dealt into blocks by hash; a task holds one block of at most about ``ROWS`` rows with
-its forest, and one of ``QUERIES`` queries. The results of a query's blocks are merged by rank.
+Rows are dealt into blocks of at most about ``ROWS`` by hash. A task builds the forest of a block once and
+lets the queries stream through it; the results of a query's blocks are merged by rank. Only where there are
+fewer blocks than tasks to keep busy, blocks are held more than once, for a share of the queries each.
 For largest inner products rows get one more coordinate, so that they all have one norm; the nearest
 by angle is then the one with the largest product. Scores are computed anew from the original vectors
 in double precision.
@@ -15,6 +16,7 @@ in double precision.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -22,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import mapped
+
+#: Rows of a block, and queries that are searched at once.
 ROWS, QUERIES = 65_536, 512
 TREES, BITS = 48, 24
 
@@ -116,28 +121,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, miss: float = 0.0
     rows = usable(vectors.select("vec_id", "embedding"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, asked, most = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(norm)).first()
-    row_blocks, query_blocks = max(1, ceil(n / ROWS)), max(1, ceil(asked / QUERIES))
-    block = lambda salt, count: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(count)).cast("int")
+    row_blocks = max(1, ceil(n / ROWS))
+    shares = max(1, min(ceil(2 * vectors.sparkSession.sparkContext.defaultParallelism / row_blocks), ceil(asked / 32)))
+    hashed = lambda salt, count: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    queries = rows.where(is_query).select("vec_id", "v", block(1, query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
-    rows = rows.select("vec_id", "v", block(2, row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
-
-    def run(own: pa.Table, asking: pa.Table) -> pa.Table:
-        out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
-        if len(own) and len(asking):
-            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-            x, q = matrix(own), matrix(asking)
-            ids, q_ids = own.column("vec_id").to_numpy(), asking.column("vec_id").to_numpy()
-            forest = Forest(x, most)
-            for i, found in enumerate(forest.search(q, k + 1, miss)):
-                found = found[ids[found] != q_ids[i]]
-                scores = (x[found] * q[i]).sum(1)
-                best = np.lexsort((ids[found], -scores))[:k]
-                out["query_id"].append(np.full(len(best), q_ids[i]))
-                out["vec_id"].append(ids[found[best]])
-                out["score"].append(scores[best])
-        return pa.table({c: np.concatenate(a) for c, a in out.items()})
-
-    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(run, "query_id long, vec_id long, score double")
+    own = rows.select("vec_id", "v", hashed(2, row_blocks).alias("block"), F.lit(False).alias("asks")).withColumn("share", every(shares))
+    asking = rows.where(is_query).select("vec_id", "v", every(row_blocks).alias("block"), F.lit(True).alias("asks"), hashed(1, shares).alias("share"))
+    dealt = own.unionByName(asking).repartition("block", "share").sortWithinPartitions("block", "share", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, x, forest = None, [], None, None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            block, share, asks, vec_id = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            matrix = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(share) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+                if now != (block[start], share[start]):
+                    now, held, forest = (block[start], share[start]), [], None
+                if not asks[start]:
+                    held.append((vec_id[start:stop].copy(), matrix[start:stop].copy()))
+                    continue
+                if not held and forest is None:
+                    continue  # no rows fell into this block
+                if forest is None:
+                    ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held, forest = [], Forest(x, most)
+                for k in range(start, stop, QUERIES):
+                    q, q_ids = matrix[k : min(k + QUERIES, stop)], vec_id[k : min(k + QUERIES, stop)]
+                    out: list[tuple[np.ndarray, ...]] = []
+                    for i, found in enumerate(forest.search(q, k_nearest + 1, miss)):
+                        found = found[ids[found] != q_ids[i]]
+                        scores = (x[found] * q[i]).sum(1)
+                        best = np.lexsort((ids[found], -scores))[:k_nearest]
+                        out.append((np.full(len(best), q_ids[i]), ids[found[best]], scores[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    k_nearest = k
+    found = mapped(dealt.select("block", "share", "asks", "vec_id", "v"), run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
