@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clauseloom.llm import components, forest, mixing, passages, queries, simhash, substrings, suffixes
+from clauseloom.llm.common import written
 from tests.conftest import DATA
 
 
@@ -59,6 +62,54 @@ def test_mix_spreads_sources_evenly(spark, sf_dir):
     assert mix.slot.is_unique
 
 
+def brute_schedule(targets, n_blocks):
+    """Source and block by slot, one point after the other."""
+    out, used, total = [], [0] * len(targets), sum(targets)
+    phi = Fraction(math.isqrt(5 * 10**60) - 10**30, 2 * 10**30)
+    for i in range(sum(n_blocks)):
+        point, k = ((i + 1) * phi) % 1 * Fraction(total), 0
+        while k < len(targets) - 1 and (targets[k] == 0 or point >= sum(map(Fraction, targets[: k + 1]))):
+            k += 1
+        if used[k] < n_blocks[k]:
+            out.append((i, k, used[k]))
+        used[k] += 1
+    late = sorted((b, k) for k in range(len(targets)) for b in range(used[k], n_blocks[k]))
+    return out + [(sum(n_blocks) + j, k, b) for j, (b, k) in enumerate(late)]
+
+
+def test_schedule_equals_point_by_point(spark):
+    targets = [1500.5, 3.25, 40_000.0, 0.0, 9000.0, 777.0]
+    n_blocks = [math.ceil(round(t) / 16) for t in targets]
+    mixed = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(targets, n_blocks, strict=True))], "src int, target double, n_blocks long")
+    got = mixing.slots(mixed, sum(n_blocks), cells=64, chunk_bits=7).orderBy("slot").collect()
+    assert [tuple(r) for r in got] == brute_schedule(targets, n_blocks)
+
+
+def test_schedule_decides_what_is_taken(spark, sf_dir, monkeypatch):
+    docs = queries.table(spark, sf_dir, "documents")
+    mix = mixing.schedule(docs, block_words=256).where("n_words > 0")
+    assert mix.where("slot is null").count() == 0
+    blocks = mix.groupBy("source", "block").agg(F.sum("n_words").alias("n"), F.countDistinct("slot").alias("slots"), F.first("target").alias("target")).toPandas()
+    assert (blocks.slots == 1).all()
+    for _, own in blocks.sort_values("block").groupby("source"):
+        assert own.block.tolist() == list(range(len(own))) and (own.n[:-1] == 256).all() and own.n.sum() == round(own.target.iloc[0])
+    whole = mixing.slots
+    monkeypatch.setattr(mixing, "slots", lambda mixed, n, **o: whole(mixed, n, **o).where("block < 2"))
+    less = mixing.taken(mixing.schedule(docs, block_words=256)).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()
+    assert all(r.n == min(512, round(r.target)) for r in less) and any(r.target > 600 for r in less)
+
+
+def test_mixed_documents_come_in_slot_order(spark, sf_dir, odd):
+    docs = queries.table(spark, sf_dir, "documents")
+    rows = mixing.mixed_documents(docs, name="at", block_words=64).collect()
+    assert [r["at"] for r in rows] == sorted(r["at"] for r in rows)
+    mix = mixing.schedule(docs, keep=("doc_id", "text"), block_words=64).where("n_words > 0").toPandas()
+    assert len(rows) == len(mix.groupby(["doc_id", "epoch"]))
+    same = spark.createDataFrame([(1, "a b c", "s", 1, "x"), (1, "a b c", "s", 2, "y"), (1, "a b c", "t", 3, "z")], "doc_id long, text string, source string, slot int, cut string")
+    assert {r.slot for r in mixing.mixed_documents(same).collect()} <= {1, 2, 3}
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(same).collect()) == 9
+
+
 def test_mix_pieces_cover_what_is_taken(spark, odd):
     mix = mixing.schedule(odd, block_words=4)
     rows = mix.toPandas()
@@ -179,8 +230,12 @@ def test_compact_windows():
     for _ in range(60):
         h = rng.integers(0, 12, rng.integers(0, 40)).astype(np.uint64)
         least = int(rng.integers(1, 8))
-        wanted = {i + int(h[i:j].argmin()) for i in range(len(h)) for j in range(i + least, len(h) + 1)}
-        assert set(passages.compact_windows(h, least)) == wanted
+        wanted = {}
+        for i, j in ((i, j) for i in range(len(h)) for j in range(i + least, len(h) + 1)):
+            c = i + int(h[i:j].argmin())
+            low, high = wanted.get(c, (i, j - 1))
+            wanted[c] = (min(low, i), max(high, j - 1))
+        assert passages.compact_windows(h, least) == sorted((c, *ends) for c, ends in wanted.items())
 
 
 def test_passages_query(spark):
@@ -196,6 +251,12 @@ def test_passages_query(spark):
     flagged = {x for (a, b), n in pairs.items() if n >= 30 and passages.covered(own[a], own[b]) and passages.covered(own[b], own[a]) for x in (a, b)}
     rows = {r.doc_id: r for r in queries.op7_near_passages(spark, folder).collect()}
     assert set(rows) <= flagged and len(rows) >= 0.99 * len(flagged)
+    # pairs, by words instead of the operator's shingles
+    said = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    grams = {i: np.array([hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)], np.int64) for i, w in said.items()}
+    true = [(a, b) for (a, b), n in pairs.items() if n >= 30 and passages.covered(grams[a], grams[b]) and passages.covered(grams[b], grams[a])]
+    joined = [a in rows and b in rows and rows[a].class_id == rows[b].class_id for a, b in true]
+    assert len(true) > 100 and sum(joined) >= 0.95 * len(true)
     assert all(p.stop - p.start >= 50 for r in rows.values() for p in r.passages)
 
 
@@ -239,9 +300,10 @@ def test_repeats_query(spark, sf_dir):
     assert got == brute_repeats([tuple(r) for r in rows])
 
 
-@pytest.mark.parametrize("many", [20_000, 3])
-def test_repeats_odd_rows(spark, monkeypatch, many):
+@pytest.mark.parametrize(("many", "gathered"), [(20_000, 400_000), (3, 400_000), (3, 150), (20_000, 150)])
+def test_repeats_odd_rows(spark, monkeypatch, many, gathered):
     monkeypatch.setattr(substrings, "MANY", many)
+    monkeypatch.setattr(substrings, "GATHERED", gathered)
     rng = random.Random(5)
     stock = ["".join(rng.choice("abcd é") for _ in range(rng.randint(90, 300))) for _ in range(6)]
     rows = []
@@ -259,6 +321,23 @@ def test_repeats_odd_rows(spark, monkeypatch, many):
     assert substrings.without_repeats(frame.limit(0)).count() == 0
 
 
+def test_repeats_of_very_many_rows_without_id(spark):
+    """One text in 300,000 rows that have no id: all but the first row lose it."""
+    said = "The same hundred and twenty bytes of text stand in every row here, and none of these rows has got an id to go by at all."
+    rows = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(said).alias("text"))
+    found = substrings.without_repeats(rows).groupBy("n_bytes", "n_removed").count().collect()
+    assert sorted((r.n_bytes, r.n_removed, r["count"]) for r in found) == [(len(said), 0, 1), (len(said), len(said), 299_999)]
+
+
+def test_one_core_in_very_many_contexts(spark, monkeypatch):
+    """85 bytes that all documents share, in surroundings of their own: nothing is removed but true repeats."""
+    monkeypatch.setattr(substrings, "MANY", 500)
+    core = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(85))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.substring(F.md5((F.col("id") % 19_990).cast("string")), 1, 20), F.lit(core), F.substring(F.md5((F.col("id") % 19_990 + 10**6).cast("string")), 1, 20)).alias("text"))
+    found = substrings.without_repeats(rows).where("n_removed > 0").collect()
+    assert {(r.doc_id, r.n_removed) for r in found} == {(19_990 + i, 125) for i in range(10)}
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     labels = dict(queries.table(spark, sf_dir, "labels").select("doc_id", "toxic").collect())
@@ -276,17 +355,40 @@ def test_pipeline_stages(spark, sf_dir):
             assert set(after.doc_id) == set(brute_components(prints, before.doc_id.tolist()))
         elif name == "suffix_dedup":
             assert sorted(after.doc_id) == sorted(before.doc_id)
+            wanted = {int(i): gone for i, _, gone, _, _ in brute_repeats(list(zip(before.doc_id, before.text, strict=True)))}
+            left = dict(zip(after.doc_id, after.text, strict=True))
+            # a character that loses a byte goes as a whole
+            assert all(len(left[i].encode()) <= len(t.encode()) - wanted[i] and (wanted[i] or left[i] == t) for i, t in zip(before.doc_id, before.text, strict=True))
+            assert sum(len(t.encode()) for t in before.text) - sum(wanted.values()) - sum(len(t.encode()) for t in after.text) <= 8 * len(before)
+        elif name == "mix_sources":
+            sizes, taken = (d.text.map(lambda t: len(t.encode().split())).groupby(d.source).sum().sort_index() for d in (before, after))
+            assert np.allclose(taken.reindex(sizes.index, fill_value=0), water_level(sizes.tolist(), [1 + i % 3 for i in range(len(sizes))]), atol=1)
     assert names == ["toxicity", "simhash_dedup", "suffix_dedup", "mix_sources", "byte_bpe"]
     last = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
     assert last.count() == len(after) and last.where("n_tokens <> size(ids)").count() == 0
 
 
 def test_pipeline_odd_rows(spark, odd, sf_dir):
-    now = odd
-    for _, stage in corpus_pipeline.STAGES:
+    now, rows = odd, {}
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
-        now = stage(spark, now, sf_dir)
-    assert now.count() > 0
+        now = written(stage(spark, now, sf_dir))
+        rows[name] = now.collect()
+    prints = [brute_fingerprint(r.text) for r in odd.collect()]
+    ids = [r.doc_id for r in odd.collect()]
+    assert len(rows["toxicity"]) == odd.count()
+    kept = {c for c in brute_components(prints, [i if i is not None else 10**9 for i in ids])}
+    assert {r.doc_id for r in rows["simhash_dedup"]} == {None if c == 10**9 else c for c in kept}
+    assert sorted(map(str, (r.doc_id for r in rows["suffix_dedup"]))) == sorted(map(str, (r.doc_id for r in rows["simhash_dedup"])))
+    sizes, taken = {}, {}
+    for r in rows["suffix_dedup"]:
+        sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
+    for r in rows["mix_sources"]:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    wanted = dict(zip(order, water_level([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    assert all(abs(taken.get(s, 0) - wanted[s]) <= 1 for s in order)
+    assert [r.n_tokens for r in rows["byte_bpe"]] == [len(r.ids) for r in rows["byte_bpe"]] and len(rows["byte_bpe"]) == len(rows["mix_sources"])
 
 
 def test_passages_of_one_function_are_linked(spark, monkeypatch):
