@@ -16,7 +16,8 @@ import html
 import random
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH, WORDS, MEASURES = 96, 48, 6
+from .common import mapped
+
+PATH, WORDS, MEASURES = 112, 48, 6
 D = PATH + WORDS + MEASURES
-HIDDEN, PAGES, EPOCHS, BATCH, RATE = 20, 700, 9, 35, 0.012
+HIDDEN, PAGES, EPOCHS, BATCH, RATE = 20, 2000, 8, 50, 0.015
 #: Words of a block up to which each weighs the same.
 USUAL = 16
 #: Pages that are labelled at once.
@@ -40,13 +43,65 @@ RAW = set("script style noscript template textarea title svg math iframe object
 #: Block-level tags that a select holds itself.
 OPTIONS = {"option", "optgroup", "hr"}
 #: A start tag ends an open element of these kinds, if that is nearer than the second set.
-CLOSES = {"p": ({"p"}, BLOCKS - {"p"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>", re.S)
+CLOSES = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: A tag whose attributes hold no angle brackets; others are read by :class:`Scanner`.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 HIDES = re.compile(r"(?:^|\s)hidden(?:\s|=|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 NAME = re.compile(r"[a-z]+")
 
 
+class Scanner:
+    """Finds the tags and comments of a page, in time linear in its length.
+
+    Quotes hide a ``>``. Where no other one is left, a tag ends at the first ``>`` instead; the places
+    between quotes that such a search has passed are kept, since another one that comes to them ends alike.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the next tag; comments and the like have no name."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if m := PLAIN_TAG.match(page, i):
+                return i, m.end(), bool(m[1]), m[2].lower(), m[3]
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(page), False, "", ""
+            if i > self.last[">"]:
+                at = page.find("<!--", i)
+                if at < 0:
+                    return None
+                continue
+            if m := TAG_NAME.match(page, i):
+                end = self.tag_end(m.end())
+                return i, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+            if page[i + 1 : i + 2] in ("!", "?", "/"):
+                return i, page.find(">", i) + 1, False, "", ""
+            at = i + 1
+        return None
+
+    def tag_end(self, at: int) -> int:
+        first, passed = self.page.find(">", at), []
+        while m := QUOTE_OR_END.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last[m[0]]:
+                break
+            at = self.page.find(m[0], m.end()) + 1
+            if at in self.dead or at > self.last[">"]:
+                break
+            passed.append(at)
+        self.dead.update(passed)
+        return first
+
+
 class Path:
     """The tokens of all open elements, as a chain; each adds to its parent's vector, a token that is open already once only."""
 
@@ -98,28 +153,36 @@ def raw_ends(page: str, tag: str) -> dict[int, int]:
     return out
 
 
-def unclosed_end(page: str, at: int, tag: str) -> int:
+def unclosed_end(scanner: Scanner, at: int, tag: str) -> int:
     """Where the content of a raw element without end tag stops: at the next block-level tag or the end tag of what it stands in."""
-    inner: list[str] = []
-    while m := TOKEN.search(page, at):
-        name = (m[2] or "").lower()
+    page, inner, open_ = scanner.page, [], Counter()
+    while token := scanner.next(at):
+        start, at, closes, name, _ = token
         if (name in BLOCKS or name == "form") and not (tag == "select" and name in OPTIONS):
-            return m.start()
-        if name and m[1] and name not in OPTIONS:
-            if name not in inner:
-                return m.start()
-            while inner.pop() != name:
-                pass
-        elif name in ("script", "style") and not m[1]:
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, m.end())
-            at = end.end() if end else len(page)
-            continue
+            return start
+        if name and closes and name not in OPTIONS:
+            if not open_[name]:
+                return start
+            while True:
+                open_[inner[-1]] -= 1
+                if inner.pop() == name:
+                    break
+        elif name in ("script", "style") and not closes:
+            end = end_tag(page, name, at)
+            at = end if end is not None else len(page)
         elif name and name not in VOID and name not in OPTIONS:
             inner.append(name)
-        at = m.end()
+            open_[name] += 1
     return len(page)
 
 
+def end_tag(page: str, name: str, at: int) -> int | None:
+    """Where the next end tag of an element without inner elements ends."""
+    found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+    end = page.find(">", found.end()) if found else -1
+    return end + 1 if end >= 0 else None
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, white space normalised, empty ones left out."""
     out: list[Block] = []
@@ -128,6 +191,8 @@ def blocks(page: str) -> list[Block]:
     open_tokens: Counter[str] = Counter()
     text: list[str] = []
     ends_of: dict[str, dict[int, int]] = {}
+    open_at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+    scanner = Scanner(page)
     links = linked = at = 0
 
     def close() -> None:
@@ -142,54 +207,50 @@ def blocks(page: str) -> list[Block]:
     def pop_to(k: int) -> None:
         close()
         while len(stack) > k:
-            open_tokens.subtract(stack.pop()[1].tokens)
+            tag, path = stack.pop()
+            open_at[tag].pop()
+            open_tokens.subtract(path.tokens)
 
     n = len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else n
-        if stop > at:
-            data = page[at:stop]
-            if not m and (k := data.rfind("<")) >= 0 and re.match(r"<[a-zA-Z/!?]", data[k:]):
+        token = scanner.next(at)
+        start, end, closes, tag, attributes = token or (n, n, False, "", "")
+        if start > at:
+            data = page[at:start]
+            if not token and (k := data.rfind("<")) >= 0 and re.match(r"<(?:[a-zA-Z/!?]|\Z)", data[k:]):
                 data = data[:k]  # a tag that the page's end cuts off
             if "&" in data:
                 data = html.unescape(data)
             text.append(data)
             if links:
                 linked += len(data)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closes:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS or tag == "form":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
+                if open_at[tag]:
+                    pop_to(open_at[tag][-1])
                 else:
                     close()
             continue
         if tag in RAW:
             if tag == "title":
                 close()
-            if not (m[3] or "").rstrip().endswith("/") or tag in ("script", "style"):
+            if not attributes.rstrip().endswith("/") or tag in ("script", "style"):
                 if tag in ("script", "style"):  # their content holds no elements
-                    found = None if tag in ends_of else re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                    end = found.end() if found else None
-                    if not found:
+                    stop = None if tag in ends_of else end_tag(page, tag, at)
+                    if stop is None:
                         ends_of[tag] = {}  # nor do later ones end
                 else:
                     if tag not in ends_of:
                         ends_of[tag] = raw_ends(page, tag)
-                    end = ends_of[tag].get(m.start())
-                if end is None:
-                    end = n if tag == "script" else unclosed_end(page, at, tag)
-                at = end
+                    stop = ends_of[tag].get(start)
+                if stop is None:
+                    stop = n if tag == "script" else unclosed_end(scanner, at, tag)
+                at = stop
             text.append(" ")
         elif tag == "br":
             text.append(" ")
@@ -201,18 +262,15 @@ def blocks(page: str) -> list[Block]:
             close()
             if tag in CLOSES:
                 ends, stops = CLOSES[tag]
-                first = None
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        first = k
-                    elif stack[k][0] in stops:
-                        break
-                if first is not None:
-                    pop_to(first)
-            elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "section", "blockquote", "pre", "form", "footer", "header", "nav", "aside", "article") and stack and stack[-1][0] == "p":
+                stop = max((open_at[s][-1] for s in stops if open_at[s]), default=-1)
+                first = [open_at[e][bisect_right(open_at[e], stop)] for e in ends if open_at[e] and open_at[e][-1] > stop]
+                if first:
+                    pop_to(min(first))
+            elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "section", "blockquote", "pre", "form", "footer", "header", "nav", "aside", "article", "p") and stack and stack[-1][0] == "p":
                 pop_to(len(stack) - 1)
             if tag not in VOID:
-                tokens = path_tokens(tag, m[3])
+                tokens = path_tokens(tag, attributes)
+                open_at[tag].append(len(stack))
                 stack.append((tag, Path(stack[-1][1] if stack else root, tokens, [t for t in dict.fromkeys(tokens) if not open_tokens[t]])))
                 open_tokens.update(tokens)
             links = 0
@@ -227,7 +285,7 @@ def bucket(token: str, size: int) -> tuple[int, float]:
 
 
 #: Tokens with places of their own in the path vector; all others share the rest by hash.
-OWN = [*"article main section div p li a h1 h2 h3 table td form nav aside footer header blockquote pre ul ol dl figure body html".split(), *".ad .ads .advert .sponsored .promo .nav .menu .sidebar .footer .header .cookie .banner .notice .comment .comments .related .share .newsletter .content .article .post .entry .main .text .body .hidden".split()]
+OWN = [*"article main section div p li a h1 h2 h3 table td form nav aside footer header blockquote pre ul ol dl figure body html".split(), *".ad .ads .advert .sponsored .promo .nav .menu .sidebar .footer .foot .copyright .legal .header .masthead .cookie .consent .banner .notice .comment .comments .related .share .widget .newsletter .search .content .article .post .entry .main .text .body .hidden".split()]
 OWN_AT = {t: i for i, t in enumerate(OWN)}
 
 
@@ -238,9 +296,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         row = out[i]
         row[:PATH] = b.path.vector
         words = b.text.lower().split()
-        # counts of all words; in long blocks they weigh less, as their sums scatter more
+        # counts of all words; in long blocks they weigh less, as their sums scatter more, and no word outweighs all else
         at, sign = zip(*[bucket(w, WORDS) for w in words], strict=True)
-        row[PATH : PATH + WORDS] = np.bincount(at, sign, WORDS) * (0.15 * min(1.0, (USUAL / len(words)) ** 0.5))
+        row[PATH : PATH + WORDS] = np.tanh(np.bincount(at, sign, WORDS) * (0.15 * min(1.0, (USUAL / len(words)) ** 0.5)))
         n = len(words)
         size = max(1, len(b.text))
         row[PATH + WORDS :] = (np.log1p(n) / 5, min(1.0, b.linked / size), sum(b.text.count(c) for c in ".,;") / size * 20, i / max(1, len(page) - 1), 1.0 if n > 12 else 0.0, 1.0 if "©" in b.text else 0.0)
@@ -267,15 +325,15 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def menu() -> str:
         items = "".join(f"<li>{link(words(rng.randint(1, 2)))}</li>" for _ in range(rng.randint(3, 9)))
-        tag, a = rng.choice([("nav", ""), ("div", attr("menu", "nav", "navbar", "breadcrumb", "toolbar")), ("nav", attr("main-nav", "top"))])
+        tag, a = rng.choice([("nav", ""), ("div", attr("menu", "nav", "navbar", "breadcrumb", "toolbar", "links", "tabs", "navigation")), ("nav", attr("main-nav", "top"))])
         return rng.choice([f"<{tag}{a}><ul>{items}</ul></{tag}>", f"<{tag}{a}>{' | '.join(link(words(1)) for _ in range(5))}</{tag}>"])
 
     def header() -> str:
-        return rng.choice([f"<header{rng.choice(['', attr('header', 'masthead')])}>{rng.choice(['<h1>' + words(2) + '</h1>', '<p>' + words(4) + '</p>', '<div>' + link(words(2)) + '</div>'])}</header>", f"<div{attr('header', 'masthead', 'site-header', 'topbar', 'branding')}><p>{words(rng.randint(1, 6))}</p></div>"])
+        return rng.choice([f"<header{rng.choice(['', attr('header', 'masthead')])}>{rng.choice(['<h1>' + words(2) + '</h1>', '<p>' + words(4) + '</p>', '<div>' + link(words(2)) + '</div>'])}</header>", f"<div{attr('header', 'masthead', 'site-header', 'topbar', 'branding', 'head', 'top')}><p>{words(rng.randint(1, 6))}</p></div>"])
 
     def footer() -> str:
         text = rng.choice([f"&copy; {words(2)} &middot; {words(rng.randint(2, 12))}", f"© 20{rng.randint(10, 25)} {words(3)}. All rights reserved.", f"{link('Privacy')} | {link('Terms')} | {link('Contact')}", words(rng.randint(4, 20))])
-        return rng.choice([f"<footer>{text}</footer>", f"<footer><p>{text}</p><p>{words(3)}</p></footer>", f"<div{attr('footer', 'site-footer', 'copyright', 'bottom')}>{text}</div>"])
+        return rng.choice([f"<footer>{text}</footer>", f"<footer><p>{text}</p><p>{words(3)}</p></footer>", f"<div{attr('footer', 'site-footer', 'copyright', 'bottom', 'foot', 'page-foot', 'colophon', 'legal', 'imprint')}>{text}</div>"])
 
     def advert() -> str:
         a = attr("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "adsense")
@@ -343,6 +401,18 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
     after = [f() for f in rng.sample([footer, comments, sidebar, advert, form, notice], rng.randint(0, 4))]
     if rng.random() < 0.5:
         before, after = [menu(), *([advert()] if rng.random() < 0.7 else [])], [footer()]
+    if tag in ("article", "div", "section") and rng.random() < 0.12:
+        main = main.removesuffix(f"</{tag}>") + f"{comments()}</{tag}>"
+    bare = rng.random()
+    if bare < 0.14:  # nothing stands around the article
+        main = body
+        if bare < 0.04:
+            before, after = [], []
+        if bare < 0.03:
+            return rng.choice([body, f"<html><body>{body}</body></html>"]), wanted
+    elif bare < 0.17:
+        wanted = [" ".join(words(rng.choice([5, 20, 60, 200]), noisy).split())]
+        return wanted[0], [html.unescape(wanted[0])]
     page = f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style></head><body>{rng.choice(['<script>var x=1;</script>', ''])}{''.join(before)}{main}{''.join(after)}{rng.choice(['</body></html>', '</body></html>', ''])}"
     return page, wanted
 
@@ -490,4 +560,4 @@ def main_texts(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), col
                 texts = ["\n\n".join(b.text for b, yes in zip(own, label.tolist(), strict=True) if yes) for own, label in zip(read, net.label(read), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return pages.select(*keep, F.col(column).alias("_html")).mapInArrow(run, f"{types}, text string")
+    return mapped(pages.select(*keep, F.col(column).alias("_html")), run, f"{types}, text string")
