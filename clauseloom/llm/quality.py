@@ -5,6 +5,10 @@ the minimum covariance determinant: concentration steps from coordinate-wise med
 ``SUPPORT`` share of rows with the least Mahalanobis distances, then one reweighted estimate. Documents far
 from their group's centre are rejected.
 
+A group's estimate is drawn towards its language's, and that towards the whole corpus', as if the wider
+group added ``PRIOR_ROWS`` rows to it: a group of any size has an estimate of its own, small ones mostly
+their language's, and nothing changes at a certain size.
+
 The groups are never gathered. A step is one pass that sums counts, values and products by group and by
 bin of the distance (1/64 of a power of two); the quantile and the new estimate come from these sums,
 some hundred rows a group. So one group with most of the rows is no more work in any task.
@@ -21,19 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mapped
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 X = ("x0", "x1", "x2", "x3", "x4")
 P = len(X)
-#: Least standard deviations, so that a statistic that is nearly constant doesn't reject by itself.
+#: Least standard deviations of the transformed statistics (a quarter of a unit of log length, 5 % of a mean word
+#: length, 0.6 % of symbols, one repeated line in two, 2 % of repeated words), so that one that is nearly
+#: constant doesn't reject by itself.
 FLOORS = (0.25, 0.05, 0.08, 0.5, 0.15)
 SUPPORT = 0.75
-#: Groups with fewer documents are estimated together.
-LEAST_ROWS = 50
-#: Rejected beyond the quantile of this chance.
+#: Rows that a wider group's estimate counts for.
+PRIOR_ROWS = 50
+#: Rejected beyond the quantile of this chance: one row in ten million of a clean, normal corpus. The statistics have
+#: longer tails than that, so a larger chance would reject clean documents.
 CHANCE = 1e-7
+ALL = "all"
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -71,7 +79,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                 counts = zip(*map(statistics, part.column(len(keep)).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.array(c, pa.int64()) for c in counts]], [*keep, *COUNTS])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, types + "".join(f", {c} long" for c in COUNTS))
+    return mapped(docs.select(*keep, F.col("text").alias("_text")), run, types + "".join(f", {c} long" for c in COUNTS))
 
 
 def chi2_below(x: float, k: int) -> float:
@@ -115,21 +123,56 @@ def first_estimate(rows: DataFrame) -> DataFrame:
     return out.withColumns({f"v{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)})
 
 
+NAMES = [f"m{i}" for i in range(P)] + [f"v{i}_{j}" for i in range(P) for j in range(i + 1)]
+INVERSE = ["grp", *[n.replace("v", "w") for n in NAMES]]
+INVERSES = "grp string" + "".join(f", {n} double" for n in INVERSE[1:])
+
+
+def inverses(grp: pa.Array, values: np.ndarray, scale: float) -> pa.RecordBatch:
+    """Rows ``INVERSE`` from rows of ``NAMES``: centres and inverse scatters; the scatter is scaled and gets the floors on its diagonal."""
+    v, places = np.zeros((len(values), P, P)), [(i, j) for i in range(P) for j in range(i + 1)]
+    for k, (i, j) in enumerate(places):
+        v[:, i, j] = v[:, j, i] = values[:, P + k] * scale
+    w = np.linalg.inv(v + np.diag(np.square(FLOORS))) if len(v) else v
+    return pa.RecordBatch.from_arrays([grp, *[pa.array(values[:, i].copy()) for i in range(P)], *[pa.array(w[:, i, j].copy()) for i, j in places]], INVERSE)
+
+
 def inverted(estimate: DataFrame, scale: float) -> DataFrame:
-    """(grp, m0.., w0_0..): centres and inverse scatters; the scatter is scaled and gets the floors on its diagonal."""
-    names = ["grp", *[f"m{i}" for i in range(P)], *[f"v{i}_{j}" for i in range(P) for j in range(i + 1)]]
-    out = [n.replace("v", "w") for n in names]
+    """Rows ``INVERSE`` of estimates (grp, ``NAMES``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield inverses(batch.column(0), np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1), scale)
+
+    return mapped(estimate.select("grp", *NAMES), run, INVERSES)
+
+
+def drawn(estimate: DataFrame, within: DataFrame, scale: float) -> DataFrame:
+    """:func:`inverted` of all groups of ``within`` (lang, level, grp), each estimate first drawn towards its wider group's.
+
+    Level 0 is the corpus, 1 a language, 2 a language and source; a language's rows stand together, itself first.
+    A group none of whose rows is near its centre has no estimate of its own and takes the wider one.
+    """
+    estimate = cut(estimate)
+    top = estimate.where(F.col("grp") == ALL).select(*NAMES).first()
+    corpus = np.array(top or [0.0] * len(NAMES), float)
+    rows = within.join(estimate, "grp", "left").select("lang", "level", "grp", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang = corpus
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-            v = np.zeros((len(batch), P, P))
-            for k, (i, j) in enumerate((i, j) for i in range(P) for j in range(i + 1)):
-                v[:, i, j] = v[:, j, i] = columns[P + k] * scale
-            w = np.linalg.inv(v + np.diag(np.square(FLOORS))) if len(v) else v
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns[:P]), *[pa.array(w[:, i, j].copy()) for i in range(P) for j in range(i + 1)]], out)
+            level, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
+            own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]], axis=1)
+            weight = (n / (n + PRIOR_ROWS))[:, None]
+            values = np.where((level == 0)[:, None], own, weight * own + (1 - weight) * corpus)
+            above = np.maximum.accumulate(np.where(level == 1, np.arange(len(level)) + 1, 0))
+            langs = np.concatenate([lang[None], values])[above]
+            values = np.where((level == 2)[:, None], weight * own + (1 - weight) * langs, values)
+            lang = langs[-1] if len(langs) else lang
+            yield inverses(batch.column(2), values, scale)
 
-    return estimate.select(*names).mapInArrow(run, "grp string" + "".join(f", {n} double" for n in out[1:]))
+    dealt = rows.repartition("lang").sortWithinPartitions("lang", "level")
+    return mapped(dealt, run, INVERSES)
 
 
 def distance(rows: DataFrame, inverse: DataFrame) -> DataFrame:
@@ -160,9 +203,8 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), steps: int = 4)
 
     base_failed: under 50 words, or over half of the words in three-word windows that repeat. Those rows
     have no d2 and aren't kept. The others are kept unless their squared distance is beyond the chi-square
-    quantile. Groups are (lang, source), nulls being values of their own; groups under ``LEAST_ROWS`` rows
-    are estimated together. Null and empty texts fail; repeated rows stay and count each; other columns
-    are ignored; an empty table gives an empty result.
+    quantile. Groups are (lang, source), nulls being values of their own. Null and empty texts fail;
+    repeated rows stay and count each; other columns are ignored; an empty table gives an empty result.
     """
     n = F.greatest(F.col("n_words"), F.lit(1))
     own = ("lang", "source")
@@ -171,18 +213,21 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), steps: int = 4)
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     measures = [F.log1p("n_words"), F.log(F.col("word_chars") / n + 1e-9), F.sqrt(F.col("n_symbols") / n), F.log1p("n_dup_lines"), F.sqrt(F.col("n_repeat_words") / n)]
     rows = rows.withColumns(dict(zip(X, measures, strict=True)))
-    name = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(f"_{c}")), F.lit("null")) for c in own])
-    rows = cut(rows.withColumn("own_grp", F.when(~F.col("base_failed"), name)).drop("_lang", "_source"))
+    named = {c: F.coalesce(F.concat(F.lit("="), F.col(f"_{c}")), F.lit("null")) for c in own}
+    wider, name = named["lang"], F.concat(named["lang"], F.lit("\u0001"), named["source"])
+    rows = cut(rows.withColumns({"grp": F.when(~F.col("base_failed"), name), "wider": wider}).drop("_lang", "_source"))
     good = rows.where("not base_failed")
-    sizes = good.groupBy("own_grp").agg((F.count(F.lit(1)) < LEAST_ROWS).alias("pooled"))
-    rows = cut(rows.join(sizes, "own_grp", "left").withColumn("grp", F.when(F.col("pooled"), F.lit("small groups")).otherwise(F.col("own_grp"))).drop("pooled", "own_grp"))
-    good = rows.where("not base_failed").select("grp", *X)
+    level = lambda k, lang, grp: F.struct(lang.alias("lang"), F.lit(k).alias("level"), grp.alias("grp"))
+    levels = F.array(level(2, F.col("wider"), F.col("grp")), level(1, F.col("wider"), F.col("wider")), level(0, F.lit(ALL), F.lit(ALL)))
+    within = cut(good.select(F.inline(levels)).distinct())
+    good = good.select(F.explode(F.array("grp", "wider", F.lit(ALL))).alias("grp"), *X)
+    rows = rows.drop("wider")
 
-    inverse = cut(inverted(first_estimate(good), 1.0))
+    inverse = cut(drawn(first_estimate(good), within, 1.0))
     # the nearest rows of a normal sample have less scatter than all of it
     shrunk = SUPPORT / chi2_below(chi2_quantile(SUPPORT, P), P + 2)
     for _ in range(steps):
-        inverse = cut(inverted(step(good, inverse, SUPPORT), shrunk))
-    inverse = cut(inverted(step(good, inverse, None, chi2_quantile(0.975, P)), 0.975 / chi2_below(chi2_quantile(0.975, P), P + 2)))
+        inverse = cut(drawn(step(good, inverse, SUPPORT), within, shrunk))
+    inverse = cut(drawn(step(good, inverse, None, chi2_quantile(0.975, P)), within, 0.975 / chi2_below(chi2_quantile(0.975, P), P + 2)))
     out = distance(rows, inverse).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(1 - CHANCE, P), ~F.col("base_failed")))
     return out.select(*keep, *COUNTS, "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), "kept")
