@@ -50,4 +50,36 @@ kept AS (SELECT g.doc_id, count(*) AS n_spans, sum(stop - start) AS n_removed, m
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
 
-ORACLES: dict[str, str] = {"op3_mix_sources": MIX, "op8_format_chats": chats(), "op9_suffix_dedup": REPEATS}
+
+
+def crc32(byte_list: str) -> str:
+    """Unsigned CRC-32 of a list of bytes, by the table of the reflected polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    step = f"xor(CAST({table} AS BIGINT[])[(xor(a, b) & 255) + 1], a >> 8)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({byte_list} AS BIGINT[])), lambda a, b: {step}), 4294967295)"
+
+
+#: Prefixes by their turns' digests end to end; each node adds to the prefixes of its least member.
+TRIE = rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT *, left(sha256(length(role) || ':' || role || text), 32) AS tid, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, tid) AS k FROM said),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x))")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+path AS (SELECT c.conv_id, 0 AS own, k, tid, words FROM convs c JOIN numbered n ON n.conv_id = c.base AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, tid, words FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND k > h),
+prefixes AS (SELECT conv_id, row_number() OVER w AS d, words, string_agg(tid, '') OVER w AS node FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY own, k ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ended AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM prefixes),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM ended GROUP BY node, d),
+kids AS (SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes n LEFT JOIN kids k ON n.node = k.node),
+trees AS (SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM valued v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY p.node)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+  FROM valued v JOIN trees t ON v.node = t.node LEFT JOIN nodes p ON v.d > 0 AND p.node = left(v.node, length(v.node) - 32)"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX, "op8_format_chats": chats(), "op9_suffix_dedup": REPEATS, "op11_prefix_trie": TRIE}
