@@ -66,7 +66,8 @@ def crc32(byte_list: str) -> str:
 #: Prefixes by their turns' digests end to end; each node adds to the prefixes of its least member.
 TRIE = rf"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-said AS (SELECT *, left(sha256(length(role) || ':' || role || text), 32) AS tid, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns),
+said AS (SELECT *, left(sha256(length(role) || ':' || role || text), 32) AS tid, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM turns),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, tid) AS k FROM said),
 convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x))")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
 path AS (SELECT c.conv_id, 0 AS own, k, tid, words FROM convs c JOIN numbered n ON n.conv_id = c.base AND k <= h
@@ -82,4 +83,22 @@ trees AS (SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved
 SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
   FROM valued v JOIN trees t ON v.node = t.node LEFT JOIN nodes p ON v.d > 0 AND p.node = left(v.node, length(v.node) - 32)"""
 
-ORACLES: dict[str, str] = {"op3_mix_sources": MIX, "op8_format_chats": chats(), "op9_suffix_dedup": REPEATS, "op11_prefix_trie": TRIE}
+#: The first bytes of a run are those of ``<doc_id>:``, in ASCII; letters from U+00C0 to U+00FF have two bytes.
+UTF8 = "flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"
+#: Words meet by what is left of them without one letter: at one place for a replaced letter, anywhere for an inserted one.
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+by_doc AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT *, {crc32(UTF8)} AS h FROM by_doc),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+near AS (SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(other, (-n, other)) AS best FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+steps AS (SELECT word, word AS at FROM formed UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL),
+ends AS (SELECT s.word, s.at AS root FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX, "op8_format_chats": chats(), "op9_suffix_dedup": REPEATS, "op11_prefix_trie": TRIE, "op12_spelling_groups": SPELLING}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, html_text, mixing, passages, quality, simhash, substrings, toxicity, trie
+from . import bpe, chat, forest, html_text, mixing, passages, quality, simhash, spelling, substrings, toxicity, trie
 from .common import table
 from .oracle import ORACLES  # noqa: F401
 
@@ -73,6 +73,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.corpus_words(table(spark, sf_dir, "documents"), garble_every=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
@@ -85,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_groups": op12_spelling_groups,
 }
