@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, html_text, mixing, passages, quality, simhash, spelling, substrings, toxicity, trie
+from . import bpe, chat, forest, html_text, mixing, passages, quality, simhash, spelling, substrings, token_files, toxicity, trie
 from .common import table
 from .oracle import ORACLES  # noqa: F401
 
@@ -77,6 +77,10 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(spelling.corpus_words(table(spark, sf_dir, "documents"), garble_every=97))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
@@ -90,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_spelling_groups": op12_spelling_groups,
+    "op13_token_files": op13_token_files,
 }
