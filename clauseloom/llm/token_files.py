@@ -2,16 +2,19 @@
 
 A 64-bit word holds a selector in its upper four bits and as many ids as the widest of them allows in the other
 60: the ``k``-th layout has ``COUNTS[k]`` places of ``60 // COUNTS[k]`` bits. Values of more than 60 bits are
-escapes: selector 0 stands for one of them, and their values follow the block's words in whole. Words are chosen
-from the left, the most ids that fit; places behind a block's last id hold zeros.
-
-A file is a Parquet table (Spark commits its parts, so a lost executor leaves none half written) with a row for each
-block: its place among all blocks, how many ids its file has before it, and the bytes of ``packed``. A block has at most
-``BLOCK`` ids, so a long document goes on over several blocks, and a reader needs no other block to decode one.
+escapes: selector 0 stands for one of them, and their values follow behind all words. Words are chosen from the left,
+the most ids that fit. Ids are cut into blocks of ``BLOCK``; a block begins with a word of its own, at an offset that
+is written down, so the words of all blocks are chosen side by side, and each can be decoded alone. Places behind
+a block's last id hold zeros.
+
+A file is a Parquet table (Spark commits its parts, so a lost executor leaves none half written). A row has the blocks
+of up to ``ROW`` ids and the documents they belong to, the row's place and how many ids its file has before it. A
+long document goes on over several rows, and no row needs another to be decoded.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,29 +35,32 @@ COUNTS = sorted({60 // width for width in range(1, 61)}, reverse=True)
 WIDTHS = [60 // n for n in COUNTS]
 #: Bits of small values.
 SMALL_BITS = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
-BLOCK = 1 << 16
-#: Pieces of text whose ids a worker remembers, bytes of text that are encoded at once.
-REMEMBERED, AT_ONCE = 200_000, 4_000_000
-BLOCKS = "part int, block int, first long, n_ids long, bytes binary"
+BLOCK, ROW = 1024, 1 << 18
+#: Pieces of text whose ids a worker remembers (twice as many at most), bytes of text that are encoded at once.
+REMEMBERED, AT_ONCE = 300_000, 4_000_000
+ROWS = "part int, row int, first long, n_ids long, bytes binary"
 
 
 def layouts(values: np.ndarray) -> np.ndarray:
-    """For each position the layout of a word that begins there: the first, with most places, that holds what follows; len(COUNTS) for an escape."""
-    n = len(values)
+    """For each position the layout of a word that begins there: the first, with most places, that holds what follows; len(COUNTS) for an escape.
+
+    ``values`` has a block in each row, with zeros behind it.
+    """
     # a value's bits, as far as layouts tell them apart
-    bits = np.zeros(n + COUNTS[0], np.uint8)
-    if n and values.max() < len(SMALL_BITS):
-        bits[:n] = SMALL_BITS[values.astype(np.int64)]
+    if values.max(initial=0) < len(SMALL_BITS):
+        bits = SMALL_BITS[values.astype(np.int64)]
     else:
+        bits = np.zeros(values.shape, np.uint8)
         for width in sorted({1, *(w + 1 for w in WIDTHS)}):
-            bits[:n][values >= np.uint64(1 << (width - 1))] = width
-    out, most, reach = np.full(n, len(COUNTS), np.int64), bits, 1
+            bits[values >= np.uint64(1 << (width - 1))] = width
+    n = values.shape[1] - COUNTS[0]
+    out, most, reach = np.full((len(values), n), len(COUNTS), np.int8), bits, 1
     for k in reversed(range(len(COUNTS))):
-        while reach < COUNTS[k]:  # most[i] becomes the largest of COUNTS[k] values from i on
+        while reach < COUNTS[k]:  # most[:, i] becomes the largest of COUNTS[k] values from i on
             step = min(reach, COUNTS[k] - reach)
-            most = np.maximum(most[:-step], most[step:])
+            most = np.maximum(most[:, :-step], most[:, step:])
             reach += step
-        fits = most[:n] <= WIDTHS[k]
+        fits = most[:, :n] <= WIDTHS[k]
         if not fits.any():  # nor do more places of fewer bits
             break
         out[fits] = k
@@ -62,66 +68,144 @@ def layouts(values: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """The block of ``values`` (unsigned 64-bit): numbers of ids and words, the words, the escaped values."""
+    """Unsigned 64-bit values: how many, how many words, the offsets of the blocks' words, the words, the escaped values."""
     values = np.asarray(values, np.uint64)
-    layout = layouts(values)
-    sizes = np.array([*COUNTS, 1])[layout]
-    ends, begins, at, n = (np.arange(len(values)) + sizes).tolist(), [], 0, len(values)
-    while at < n:
-        begins.append(at)
-        at = ends[at]
-    begins = np.array(begins, np.int64)
-    chosen = layout[begins]
-    words, padded = np.zeros(len(begins), np.uint64), np.concatenate([values, np.zeros(COUNTS[0], np.uint64)])
+    n_blocks = -(-len(values) // BLOCK)
+    blocks = np.zeros((n_blocks, BLOCK + COUNTS[0]), np.uint64)
+    last = len(values) - (n_blocks - 1) * BLOCK
+    if n_blocks:
+        blocks[:-1, :BLOCK] = values[: len(values) - last].reshape(-1, BLOCK)
+        blocks[-1, :last] = values[len(values) - last :]
+    layout = layouts(blocks)
+    # all blocks go on by one word at a time
+    sizes, ends = np.array([*COUNTS, 1])[layout], np.full(n_blocks, BLOCK)
+    ends[-1:] = last
+    begin, at, which = np.zeros((n_blocks, BLOCK), bool), np.zeros(n_blocks, np.int64), np.arange(n_blocks)
+    while len(which):
+        begin[which, at] = True
+        at = at + sizes[which, at]
+        on = at < ends[which]
+        which, at = which[on], at[on]
+    row, place = np.nonzero(begin)
+    chosen, flat = layout[row, place], row * blocks.shape[1] + place
+    words, padded = np.zeros(len(row), np.uint64), blocks.ravel()
     for k, (count, width) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
         rows = np.flatnonzero(chosen == k)
-        places = padded[begins[rows, None] + np.arange(count)] << (np.arange(count, dtype=np.uint64) * np.uint64(width))
-        words[rows] = np.bitwise_or.reduce(places, axis=1) | np.uint64((k + 1) << 60)
-    escaped = values[begins[chosen == len(COUNTS)]]
-    return b"".join(x.astype("<u8").tobytes() for x in (np.array([n, len(words)]), words, escaped))
-
-
-def unpacked(block: bytes) -> np.ndarray:
-    """The values of a block: every layout's words are cut at once and put to their places."""
-    n, n_words = np.frombuffer(block, "<u8", 2).astype(np.int64).tolist()
-    words, escaped = np.frombuffer(block, "<u8", n_words, 16), np.frombuffer(block, "<u8", offset=16 + 8 * n_words)
+        word = np.full(len(rows), (k + 1) << 60, np.uint64)
+        for j in range(count) if len(rows) else ():
+            word |= padded[flat[rows] + j] << np.uint64(j * width)
+        words[rows] = word
+    offsets = np.searchsorted(row, np.arange(n_blocks))
+    return b"".join(x.astype("<u8").tobytes() for x in (np.array([len(values), len(words)]), offsets, words, padded[flat[chosen == len(COUNTS)]]))
+
+
+def unpacked(content: bytes, first: int = 0, stop: int | None = None) -> np.ndarray:
+    """The values of the blocks from ``first`` to before ``stop`` (all of them): every layout's words are cut at once and put to their places."""
+    n, n_words = np.frombuffer(content, "<u8", 2).astype(np.int64).tolist()
+    n_blocks = -(-n // BLOCK)
+    offsets = np.append(np.frombuffer(content, "<u8", n_blocks, 16).astype(np.int64), n_words)
+    stop = n_blocks if stop is None else min(stop, n_blocks)
+    words = np.frombuffer(content, "<u8", n_words, 16 + 8 * n_blocks)
+    escaped = np.frombuffer(content, "<u8", offset=16 + 8 * (n_blocks + n_words))
+    if len(escaped):
+        before = int((words[: offsets[first]] >> np.uint64(60) == 0).sum())
+        escaped = escaped[before:]
+    words, offsets = words[offsets[first] : offsets[stop]], offsets[first:stop] - offsets[first]
     layout = (words >> np.uint64(60)).astype(np.int64)
-    sizes = np.array([1, *COUNTS])[layout]
-    begins = np.cumsum(sizes) - sizes
-    out = np.zeros(n + COUNTS[0], np.uint64)
-    out[begins[layout == 0]] = escaped
-    for k, (count, width) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
+    ends = np.cumsum(np.array([1, *COUNTS])[layout])
+    begins = ends - np.array([1, *COUNTS])[layout]
+    # from the places that words have to those of their blocks, whose last words may reach over the end
+    block = np.repeat(np.arange(len(offsets)), np.diff(np.append(offsets, len(words))))
+    begins += (np.arange(len(offsets)) * BLOCK - begins[offsets])[block] if len(offsets) else 0
+    out = np.zeros(max(len(offsets), 1) * BLOCK + COUNTS[0], np.uint64)
+    for k, (count, width) in list(enumerate(zip(COUNTS, WIDTHS, strict=True)))[::-1]:
         rows = np.flatnonzero(layout == k + 1)
-        places = words[rows, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(width)) & np.uint64((1 << width) - 1)
-        # zeros behind the last value may only fall where nothing else is
-        out[(begins[rows, None] + np.arange(count)).ravel()] = places.ravel()
-    return out[:n]
+        for j in range(count) if len(rows) else ():
+            at, value = begins[rows] + j, words[rows] >> np.uint64(j * width) & np.uint64((1 << width) - 1)
+            inside = at < (block[rows] + 1) * BLOCK if j else slice(None)
+            out[at[inside]] = value[inside]
+    at = np.flatnonzero(layout == 0)
+    out[begins[at]] = escaped[: len(at)]
+    return out[: min(n - first * BLOCK, len(offsets) * BLOCK)]
+
+
+class Remembered:
+    """A bounded cache in two generations: what the younger doesn't hold is taken over from the older one, if that does."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that aren't known; all others are held by ``young`` until more are added."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = keys - self.young.keys()
+        kept = new & self.old.keys()
+        self.young.update((k, self.old[k]) for k in kept)
+        return list(new - kept)
+
+
+#: Latin letters, and ASCII marks but the apostrophe, which can begin a token with letters.
+_LETTER, _MARK = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"[!-&(-/:-@\[-`{-~]"
+#: A text's pieces: a word up to an ASCII mark or white space, a digit, marks up to a word, digit or white space; else all up to white space.
+PIECE = re.compile(_LETTER + rb"++(?=[\s!-@\[-`{-~]|\Z)|[0-9]|" + _MARK + rb"++(?=[\s0-9]|" + _LETTER + rb"|\Z)|\S+")
+SIMPLE = re.compile(_LETTER + rb"+|[0-9]|" + _MARK + rb"+")
 
 
 class Encoder:
-    """The ids of texts by a tokenizer file that drops white space.
+    """The ids of texts by a tokenizer file that drops white space and lower-cases, and whose words end with ``</w>``.
 
-    Such a tokenizer's ids of a text are those of the pieces between ASCII white space, one after another, so the
-    library encodes each piece once and what it gave is remembered.
+    Its tokens hold a run of letters, a digit or a run of marks, or an apostrophe with letters. So a text's ids are those of
+    the pieces that it is cut into at white space and between letters and marks. The library encodes a piece once, and
+    what it gave is remembered; pieces of a single token each are encoded many at a time, as one text, in which
+    each has one id that ends it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        added = "|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile((added or "(?!)").encode())  # texts with these aren't cut
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = Remembered(REMEMBERED)
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        if new := list({p for ps in pieces for p in ps} - self.known.keys()):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list({p for ps in pieces for p in ps})
-            for start in range(0, len(new), 10_000):
-                some = new[start : start + 10_000]
-                found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-                self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
-        for ps in pieces:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, ps)), "<u4")
+        cut: list[list[bytes] | None] = []
+        for text in texts:
+            lower = text.lower()
+            # small letters and combining marks can meet in one character where capital ones don't
+            apart = b"\xcc" in text or b"\xcd" in text
+            cut.append(None if self.added.search(lower) else PIECE.findall(text if apart else lower))
+        self.learn(self.known.missing(set().union(*(c for c in cut if c))))
+        known = self.known.young
+        for text, pieces in zip(texts, cut, strict=True):
+            yield self.whole([text])[0] if pieces is None else np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        self.learn_words([p for p in new if SIMPLE.fullmatch(p)])
+        others = [p for p in new if not SIMPLE.fullmatch(p)]
+        for start in range(0, len(others), 10_000):
+            some = others[start : start + 10_000]
+            self.known.young.update((p, ids.tobytes()) for p, ids in zip(some, self.whole(some), strict=True))
+
+    def learn_words(self, new: list[bytes]) -> None:
+        groups = [new[start : start + 500] for start in range(0, len(new), 500)]
+        for start in range(0, len(groups), 20):
+            some = groups[start : start + 20]
+            found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in some], add_special_tokens=False)
+            for group, e in zip(some, found, strict=True):
+                ids = np.array(e.ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                raw = ids.tobytes()
+                self.known.young.update((w, raw[i:j]) for w, i, j in zip(group, [0, *stops], stops, strict=False))
+                if len(stops) != len(group):
+                    raise ValueError("a word has not exactly one id that ends it: this tokenizer's words can't be encoded together")
 
 
 @lru_cache(maxsize=1)
@@ -158,38 +242,37 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 1, parts: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        first, block, held, size, docs_of = 0, 0, [], 0, []  # docs_of: (doc_id, no, ids of it in this block, whether it ends here)
+        first, row, held, size, docs_of = 0, 0, [], 0, []  # docs_of: (doc_id, number in the part, ids of it in this row)
 
         def out() -> pa.RecordBatch:
-            nonlocal first, block, held, size, docs_of
-            # a document's id, its number in the part and its share of the block, each as 64-bit integers
-            ids, no, shares, ended = zip(*docs_of, strict=True)
-            head = [np.array([len(ids)]), np.array([0 if i is None else i for i in ids]), np.array([i is None for i in ids]), np.array(no), np.array(shares), np.array(ended)]
+            nonlocal first, row, held, size, docs_of
+            ids, no, shares = zip(*docs_of, strict=True)
+            head = [np.array([len(ids)]), np.array([0 if i is None else i for i in ids]), np.array([i is None for i in ids]), np.array(no), np.array(shares)]
             content = b"".join(x.astype("<i8").tobytes() for x in head) + packed(np.concatenate(held))
-            made = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([content], pa.binary())]
-            first, block, held, size, docs_of = first + size, block + 1, [], 0, []
-            return pa.RecordBatch.from_arrays(made, ["part", "block", "first", "n_ids", "bytes"])
+            made = [pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([content], pa.binary())]
+            first, row, held, size, docs_of = first + size, row + 1, [], 0, []
+            return pa.RecordBatch.from_arrays(made, ["part", "row", "first", "n_ids", "bytes"])
 
         for no, (doc_id, ids) in enumerate(encoded(batches, path, end)):
             at = 0
             while at < len(ids):
-                share = ids[at : at + BLOCK - size]
+                share = ids[at : at + ROW - size]
                 held.append(share)
+                docs_of.append((doc_id, no, len(share)))
                 at, size = at + len(share), size + len(share)
-                docs_of.append((doc_id, no, len(share), at == len(ids)))
-                if size == BLOCK:
+                if size == ROW:
                     yield out()
         if size:
             yield out()
 
-    mapped(rows, run, BLOCKS).write.option("compression", "none").parquet(folder)
+    mapped(rows, run, ROWS).write.option("compression", "none").parquet(folder)
 
 
 def shares_of(content: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    """(doc ids, which are null, numbers, shares, whether they end) of a block's documents, and its ids."""
+    """(doc ids, which are null, numbers, shares) of a row's documents, and its ids."""
     n = int(np.frombuffer(content, "<i8", 1)[0])
-    columns = np.frombuffer(content, "<i8", 5 * n, 8).reshape(5, n)
-    return list(columns), unpacked(content[8 + 40 * n :])
+    columns = np.frombuffer(content, "<i8", 4 * n, 8).reshape(4, n)
+    return list(columns), unpacked(content[8 + 32 * n :])
 
 
 def crc_of_both(first: int, second: int, size: int) -> int:
@@ -206,26 +289,27 @@ def read_tokens(spark, folder: str, digest: bool = True) -> DataFrame:  # noqa:
 
     ``start`` counts the ids of all documents before, over all files.
     """
-    blocks = spark.read.schema(BLOCKS).parquet(folder)
-    own = T.StructType([*T.StructType.fromDDL("part int, no long, doc_id long, block int, start long, n long, crc long").fields, *([] if digest else [T.StructField("ids", T.ArrayType(T.LongType()))])])
+    rows = spark.read.schema(ROWS).parquet(folder)
+    own = T.StructType([*T.StructType.fromDDL("part int, no long, doc_id long, row int, start long, n long, crc long").fields, *([] if digest else [T.StructField("ids", T.ArrayType(T.LongType()))])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                (ids, null, no, sizes, _), values = shares_of(row["bytes"])
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                (ids, null, no, sizes), values = shares_of(row["bytes"])
                 ends = np.cumsum(sizes)
                 raw = values.astype("<u4").tobytes()
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                same = lambda x, kind: pa.array(np.full(len(ids), x), kind)
-                columns = [same(row["part"], pa.int32()), pa.array(no), pa.array(ids, mask=null != 0), same(row["block"], pa.int32()), pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
+                same = lambda x: pa.array(np.full(len(ids), x, np.int32))
+                columns = [same(row["part"]), pa.array(no), pa.array(ids, mask=null != 0), same(row["row"]), pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
                 if not digest:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, own.names)
 
-    shares = mapped(blocks, run, own)
+    shares = mapped(rows, run, own)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    pieces = F.array_sort(F.collect_list(F.struct("block", "n", "crc", *([] if digest else ["ids"]))))  # of one document
+    parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    pieces = F.array_sort(F.collect_list(F.struct("row", "n", "crc", *([] if digest else ["ids"]))))  # of one document
     joined = shares.groupBy("part", "no").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), pieces.alias("pieces"))
     result = F.when(F.size("pieces") == 1, F.col("pieces.crc")[0]).otherwise(crc_of(F.col("pieces.n"), F.col("pieces.crc"))).alias("ids_crc32") if digest else F.flatten("pieces.ids").alias("ids")
     return joined.join(F.broadcast(parts), "part").select("doc_id", (F.col("earlier") + F.col("start")).alias("start"), "n_tokens", result)
