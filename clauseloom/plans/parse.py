@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions.sentences import context
@@ -11,15 +11,23 @@ from clauseloom.functions.words import ABBREVIATIONS, STOP_WORDS
 from clauseloom.operators.keywords import TOP, with_keywords
 from clauseloom.operators.lines import classify, explode_lines
 from clauseloom.operators.segments import group_lines, with_parents
+from clauseloom.operators.split import group_lines_in_chunks, with_parents_in_chunks
+from clauseloom.sources.documents import base_name
+from clauseloom.sources.lines import read_lines
 
 
 def classified_lines(docs: DataFrame) -> DataFrame:
     return classify(explode_lines(docs.select("doc_id", clean_text("text").alias("text"))))
 
 
+def grouped_documents(docs: DataFrame) -> DataFrame:
+    """Segments with depth and level alone."""
+    return group_lines(classified_lines(docs))
+
+
 def segment_documents(docs: DataFrame) -> DataFrame:
     """Segments with level and parent, without keywords and context."""
-    return with_parents(group_lines(classified_lines(docs)))
+    return with_parents(grouped_documents(docs))
 
 
 def parse_documents(docs: DataFrame, top_n: int = TOP, stop_words: tuple[str, ...] = STOP_WORDS, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
@@ -34,3 +42,18 @@ def parse_documents(docs: DataFrame, top_n: int = TOP, stop_words: tuple[str, ..
     segments = with_parents(group_lines(classify(lines)))
     segments = with_keywords(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
     return segments.select(F.col("doc_id.doc_id").alias("doc_id"), "seg_no", F.col("doc_id.file_name").alias("file_name"), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
+
+
+def parse_files(spark: SparkSession, path: str, top_n: int = TOP, stop_words: tuple[str, ...] = STOP_WORDS, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
+    """The rows of :func:`parse_documents` for text files of any size (doc_id is the path): one file may be the work of many tasks.
+
+    More shuffles than the parse by documents, which is the way for many small ones.
+    """
+    segments = segment_files(spark, path)
+    segments = with_keywords(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
+    return segments.select("doc_id", "seg_no", base_name(F.col("doc_id")).alias("file_name"), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
+
+
+def segment_files(spark: SparkSession, path: str) -> DataFrame:
+    """Segments with level and parent of text files of any size."""
+    return with_parents_in_chunks(group_lines_in_chunks(classify(read_lines(spark, path))))

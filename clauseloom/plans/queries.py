@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import clean_text
 from clauseloom.operators.segments import group_lines
-from clauseloom.plans.parse import classified_lines, parse_documents, segment_documents
+from clauseloom.plans.parse import classified_lines, grouped_documents, parse_documents, segment_documents
 from clauseloom.sources import documents as io
 from clauseloom.sources.corpus import policies, rendered
 from clauseloom.streaming.segments import segment_stream
@@ -21,7 +21,7 @@ CORE = ("doc_id", "seg_no", "clause_id", "level", "title", "text")
 
 def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: segments of each document by level."""
-    return segment_documents(policies(spark, sf_dir)).groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n_segments"))
+    return grouped_documents(policies(spark, sf_dir)).groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n_segments"))
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def heading_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_documents(policies(spark, sf_dir)).select(*CORE, "depth")
+    return grouped_documents(policies(spark, sf_dir)).select(*CORE, "depth")
 
 
 def segment_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.preview(segment_documents(policies(spark, sf_dir)))
+    return io.preview(grouped_documents(policies(spark, sf_dir)))
 
 
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
