@@ -14,6 +14,7 @@ long document goes on over several rows, and no row needs another to be decoded.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -37,7 +38,7 @@ WIDTHS = [60 // n for n in COUNTS]
 SMALL_BITS = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 BLOCK, ROW = 1024, 1 << 18
 #: Pieces of text whose ids a worker remembers (twice as many at most), bytes of text that are encoded at once.
-REMEMBERED, AT_ONCE = 300_000, 4_000_000
+REMEMBERED, AT_ONCE = 500_000, 4_000_000
 ROWS = "part int, row int, first long, n_ids long, bytes binary"
 
 
@@ -136,19 +137,23 @@ class Remembered:
         self.most, self.young, self.old = most, {}, {}
 
     def missing(self, keys: set[bytes]) -> list[bytes]:
-        """The keys that aren't known; all others are held by ``young`` until more are added."""
+        """Those of ``keys``, none of which ``young`` holds, that aren't known at all; ``young`` holds the others now."""
+        kept = keys & self.old.keys()
+        self.young.update((k, self.old[k]) for k in kept)
+        return list(keys - kept)
+
+    def grow_old(self) -> None:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        new = keys - self.young.keys()
-        kept = new & self.old.keys()
-        self.young.update((k, self.old[k]) for k in kept)
-        return list(new - kept)
 
 
 #: Latin letters, and ASCII marks but the apostrophe, which can begin a token with letters.
 _LETTER, _MARK = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"[!-&(-/:-@\[-`{-~]"
 #: A text's pieces: a word up to an ASCII mark or white space, a digit, marks up to a word, digit or white space; else all up to white space.
 PIECE = re.compile(_LETTER + rb"++(?=[\s!-@\[-`{-~]|\Z)|[0-9]|" + _MARK + rb"++(?=[\s0-9]|" + _LETTER + rb"|\Z)|\S+")
+#: Texts of these bytes alone have no apostrophe and no other letters: all that is cut where letters, digits and marks meet.
+PLAIN = bytes(b for b in range(128) if b != 0x27) + b"\xc3" + bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))
+PLAIN_PIECE = re.compile(rb"[A-Za-z\x80-\xff]++|[!-/:-@\[-`{-~]++|[^\s]")
 SIMPLE = re.compile(_LETTER + rb"+|[0-9]|" + _MARK + rb"+")
 
 
@@ -162,6 +167,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -173,23 +179,31 @@ class Encoder:
         self.known = Remembered(REMEMBERED)
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        cut: list[list[bytes] | None] = []
+        self.known.grow_old()
+        cut, found, new = [], [], set()
         for text in texts:
             lower = text.lower()
             # small letters and combining marks can meet in one character where capital ones don't
             apart = b"\xcc" in text or b"\xcd" in text
-            cut.append(None if self.added.search(lower) else PIECE.findall(text if apart else lower))
-        self.learn(self.known.missing(set().union(*(c for c in cut if c))))
-        known = self.known.young
-        for text, pieces in zip(texts, cut, strict=True):
-            yield self.whole([text])[0] if pieces is None else np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+            pieces = None if self.added.search(lower) else PLAIN_PIECE.findall(lower) if not lower.translate(None, PLAIN) else PIECE.findall(text if apart else lower)
+            ids = list(map(self.known.young.get, pieces or ()))
+            if None in ids:
+                new.update(p for p, i in zip(pieces, ids, strict=True) if i is None)
+            cut.append(pieces)
+            found.append(ids)
+        self.learn(self.known.missing(new))
+        for text, pieces, ids in zip(texts, cut, found, strict=True):
+            if pieces is None:
+                yield self.whole([text])[0]
+            else:
+                yield np.frombuffer(b"".join(ids if None not in ids else map(self.known.young.__getitem__, pieces)), "<u4")
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        self.learn_words([p for p in new if SIMPLE.fullmatch(p)])
         others = [p for p in new if not SIMPLE.fullmatch(p)]
+        self.learn_words(list(set(new).difference(others)))
         for start in range(0, len(others), 10_000):
             some = others[start : start + 10_000]
             self.known.young.update((p, ids.tobytes()) for p, ids in zip(some, self.whole(some), strict=True))
