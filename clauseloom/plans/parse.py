@@ -12,7 +12,7 @@ from clauseloom.operators.keywords import TOP, with_keywords
 from clauseloom.operators.lines import classify, explode_lines
 from clauseloom.operators.segments import group_lines, with_parents
 from clauseloom.operators.split import group_lines_in_chunks, with_parents_in_chunks
-from clauseloom.sources.documents import base_name
+from clauseloom.sources.documents import named
 from clauseloom.sources.lines import read_lines
 
 
@@ -51,7 +51,7 @@ def parse_files(spark: SparkSession, path: str, top_n: int = TOP, stop_words: tu
     """
     segments = segment_files(spark, path)
     segments = with_keywords(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
-    return segments.select("doc_id", "seg_no", base_name(F.col("doc_id")).alias("file_name"), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
+    return segments.select("doc_id", "seg_no", named(F.col("doc_id")), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
 
 
 def segment_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,16 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
 
 
+def named(path: Column) -> Column:
+    """The name of a file by its path as Spark gives it, which is a URI's."""
+    return F.url_decode(F.replace(base_name(path), F.lit("+"), F.lit("%2B"))).alias("file_name")
+
+
+def file_name() -> Column:
+    """The name of the file that a row was read from."""
+    return named(F.col("_metadata.file_path"))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` over as many partitions as there are cores at least; a table of more splits than that stays as it is.
 
@@ -29,9 +39,19 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, file_name, text): whole text files; the id is the path, so that equal names stay apart."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("doc_id"))
-    return files.select("doc_id", base_name(F.col("doc_id")).alias("file_name"), F.coalesce("value", F.lit("")).alias("text"))
+    """(doc_id, file_name, text): whole text files; the id is the path, so that equal names stay apart. Spark passes over files of no bytes."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), file_name(), F.coalesce("value", F.lit("")).alias("text"))
+
+
+def read_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, file_name, text, undecodable): whole files, whose bytes are checked to be UTF-8; the text of others is null.
+
+    No byte is ever replaced: :func:`check_files` rejects what can't be decoded.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    return files.select(F.col("_metadata.file_path").alias("doc_id"), file_name(), F.when(valid, text).alias("text"), (~valid).alias("undecodable"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -54,8 +74,13 @@ def requests(rows: DataFrame) -> DataFrame:
 
 
 def check_files(docs: DataFrame, extension: str = ".pdf") -> DataFrame:
-    """Adds status and detail: null for accepted documents, else those of the first check that fails."""
+    """Adds status and detail: null for accepted documents, else those of the first check that fails.
+
+    The name's ending is looked at before the text, whose bytes (:func:`read_bytes`) have to be text, and not blank.
+    """
     failed = F.when(~F.lower("file_name").endswith(extension.lower()), F.struct(F.lit(400).alias("status"), F.lit(f"Only {extension} files are accepted.").alias("detail")))
+    if "undecodable" in docs.columns:
+        failed = failed.when(F.col("undecodable"), F.struct(F.lit(500).alias("status"), F.lit("The file isn't UTF-8 text.").alias("detail")))
     failed = failed.when(is_blank("text"), F.struct(F.lit(422).alias("status"), F.lit("No text could be extracted from the file.").alias("detail")))
     return docs.withColumn("_failed", failed).withColumns({"status": F.col("_failed.status"), "detail": F.col("_failed.detail")}).drop("_failed")
 

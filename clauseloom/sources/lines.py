@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import WS, replace, strip
-from clauseloom.sources.documents import base_name
+from clauseloom.sources.documents import file_name, named
 from clauseloom.sources.storage import written
 
 #: 2**CHUNK_BITS lines of one byte range are numbered together.
@@ -58,10 +58,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     A byte order mark in front of a file is no part of its text. Files without a line that isn't blank have no row; :func:`files` lists all.
     """
     lines = numbered_lines(raw_lines(spark, path))
-    return lines.select("doc_id", base_name(F.col("doc_id")).alias("file_name"), "line_no", "line", "stripped")
+    return lines.select("doc_id", named(F.col("doc_id")), "line_no", "line", "stripped")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, file_name, n_bytes) of all files, whose content isn't read."""
-    found = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("doc_id"), "length")
-    return found.select("doc_id", base_name(F.col("doc_id")).alias("file_name"), F.col("length").alias("n_bytes"))
+    """(doc_id, file_name, n_bytes) of all files that have a byte, whose content isn't read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("doc_id"), file_name(), F.col("length").alias("n_bytes"))
