@@ -122,6 +122,40 @@ sentences AS (SELECT doc_id, seg_no, s, {strip("string_agg(piece, '' ORDER BY i)
 contexts AS (SELECT doc_id, seg_no, string_agg(sentence, ' ' ORDER BY s) AS context FROM sentences WHERE s < 2 GROUP BY doc_id, seg_no)"""
 
 
+def types(source: str) -> str:
+    """CTEs from a table with doc_id and text to ``types``: counts of word types, and which are abbreviations."""
+    around = q("^[\"'“”‘’(\\[{]+|[\"'“”‘’)\\]},;:!?]+\\z")
+    ends = q("[.?!:;][\"'”’)\\]}]*\\z")
+    return rf"""listed AS (SELECT list_filter(regexp_split_to_array(coalesce(text, ''), {q(rf'[{WS}]+')}), lambda t: t <> '') AS ts FROM {source}),
+tokens AS (SELECT unnest(ts) AS token, unnest(list_prepend(NULL, ts[:-2])) AS before FROM listed WHERE len(ts) > 0),
+cores AS (SELECT regexp_replace(token, {around}, '', 'g') AS core, before FROM tokens),
+ended AS (SELECT *, suffix(core, '.') AND NOT suffix(core, '..') AS ends FROM cores),
+typed AS (SELECT lower(CASE WHEN ends THEN left(core, length(core) - 1) ELSE core END) AS word, ends, left(core, 1) AS letter, coalesce(NOT regexp_matches(before, {ends}), false) AS inside FROM ended),
+counted AS (SELECT CASE WHEN regexp_matches(word, '^\p{{L}}+(?:\.\p{{L}}+)*\z') THEN word END AS type, count(*) FILTER (ends) AS with_period, count(*) FILTER (NOT ends) AS without_period,
+  count(*) FILTER (regexp_matches(letter, '\p{{Ll}}')) AS small, count(*) FILTER (regexp_matches(letter, '\p{{Lu}}') AND inside) AS capital_inside FROM typed GROUP BY 1),
+rates AS (SELECT *, sum(with_period) OVER () / sum(with_period + without_period) OVER () AS p, length(type) - length(replace(type, '.', '')) AS inner_periods FROM counted),
+scored AS (SELECT *, 2 * (with_period * ln(0.99) + without_period * ln(1 - 0.99) - with_period * ln(p) - without_period * ln(1 - p)) * exp(inner_periods - length(type)) * (inner_periods + 1) * pow(length(type) - inner_periods, -without_period) AS score FROM rates),
+types AS (SELECT type, with_period, without_period, small, capital_inside, with_period > 0 AND score >= 0.3 AS abbreviation FROM scored WHERE type IS NOT NULL)"""
+
+
+def learned_contexts() -> str:
+    """CTEs from ``segments`` and ``types`` to ``contexts``."""
+    boundary = q(r"([.?!]+[" + "\"'”’" + rf")\]}}]*)([{WS}]+)")
+    around = q("^[\"'“”‘’(\\[{]+|[\"'“”‘’)\\]},;:!?]+\\z")
+    last = f"regexp_replace(list_filter(regexp_split_to_array(piece, {q(rf'[{WS}]+')}), lambda t: t <> '')[-1], {around}, '', 'g')"
+    first = f"regexp_replace(regexp_replace(list_filter(regexp_split_to_array(piece, {q(rf'[{WS}]+')}), lambda t: t <> '')[1], {around}, '', 'g'), '\\.\\z', '')"
+    return rf"""cut AS (SELECT doc_id, seg_no, string_split(regexp_replace(text, {boundary}, '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM segments),
+pieces AS (SELECT doc_id, seg_no, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM cut),
+told AS (SELECT *, lead({first}) OVER w AS next, lead(piece) OVER w AS next_piece, {last} AS last FROM pieces WINDOW w AS (PARTITION BY doc_id, seg_no ORDER BY i)),
+short AS (SELECT told.*, a.type IS NOT NULL AS short FROM told LEFT JOIN types a ON a.abbreviation AND suffix(last, '.') AND a.type = lower(left(last, length(last) - 1))),
+spelt AS (SELECT s.*, n.type IS NOT NULL AS new FROM short s LEFT JOIN types n ON n.small > 0 AND n.capital_inside = 0 AND s.short AND regexp_matches(left(next, 1), '\p{{Lu}}') AND n.type = lower(next)),
+flagged AS (SELECT *, short AND NOT new OR regexp_matches(piece, '(?:^|[^\p{{L}}\p{{N}}])\p{{Lu}}\.\z')
+  OR regexp_matches(piece, '(?:^|[^\p{{L}}\p{{N}}])\p{{Nd}}+\.\z') AND coalesce(regexp_matches(next_piece, {q(rf'^[{WS}]*\p{{Ll}}')}), false) AS goes_on FROM spelt),
+numbered_pieces AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, seg_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM flagged),
+sentences AS (SELECT doc_id, seg_no, s, {strip("string_agg(piece, '' ORDER BY i)")} AS sentence FROM numbered_pieces WHERE s < 2 GROUP BY doc_id, seg_no, s),
+contexts AS (SELECT doc_id, seg_no, string_agg(sentence, ' ' ORDER BY s) AS context FROM sentences WHERE sentence <> '' GROUP BY doc_id, seg_no)"""
+
+
 PARENTS = """parents AS (SELECT a.doc_id, a.seg_no, arg_max(b.clause_id, b.seg_no) AS parent_clause
   FROM segments a LEFT JOIN segments b ON a.doc_id = b.doc_id AND b.seg_no < a.seg_no AND b.depth < a.depth GROUP BY a.doc_id, a.seg_no)"""
 
@@ -139,6 +173,10 @@ SELECT p.doc_id, regexp_replace(p.file_name, '[.][^./]*$', '') || '_output.json'
   FROM policies p LEFT JOIN objects o ON p.doc_id = o.doc_id GROUP BY p.doc_id, p.file_name"""
 
 
+#: A text of each source's thousands of documents, under its file's name.
+BINDERS = f"""{POLICIES}, binders AS (SELECT coalesce(source, 'none') || '-' || doc_id // 1000 || '.txt' AS doc_id, string_agg(p.text, chr(10) ORDER BY p.doc_id) AS text
+  FROM policies p JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) GROUP BY 1)"""
+
 PREAMBLE = "SELECT doc_id, clause_id, title FROM segments WHERE clause_id LIKE 'PREAMBLE-%'"
 BLANK = rf"regexp_matches(t, '^[{WS}]*\z')"
 
@@ -154,6 +192,8 @@ ORACLES: dict[str, str] = {
     "segment_keywords": f"""{CORE}, {keywords()}
       SELECT s.doc_id, s.seg_no, coalesce(array_to_string(keywords, ' '), '') AS keywords FROM segments s LEFT JOIN top USING (doc_id, seg_no)""",
     "segment_context": f"{CORE}, {contexts()} SELECT doc_id, seg_no, context FROM contexts",
+    "abbreviation_types": f"WITH {POLICIES}, {types('policies')} SELECT * FROM types",
+    "learned_context": f"{CORE}, {types('policies')}, {learned_contexts()} SELECT s.doc_id, s.seg_no, coalesce(context, '') AS context FROM segments s LEFT JOIN contexts USING (doc_id, seg_no)",
     "segments_json": json_sql(),
     "text_requests": f"""WITH asked AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'd' || doc_id || '.txt' END AS file_name, CASE WHEN doc_id % 7 > 0 THEN text END AS t FROM documents)
       SELECT coalesce(file_name, 'inline.txt') AS file_name, CAST(CASE WHEN {BLANK} THEN 400 ELSE 200 END AS INTEGER) AS status, md5(coalesce(t, '')) AS text_md5 FROM (SELECT file_name, coalesce(t, '') AS t FROM asked)""",
@@ -164,6 +204,18 @@ ORACLES: dict[str, str] = {
       checked AS (SELECT doc_id, file_name, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN {BLANK} THEN 400 END
         WHEN NOT suffix(lower(file_name), '.pdf') THEN 400 WHEN {BLANK} THEN 422 END AS status FROM asked)
       SELECT doc_id, file_name, CAST(status AS INTEGER) AS status FROM checked WHERE status IS NOT NULL""",
+    "json_files": f"""SELECT 'policy ' || doc_id % 250 || CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY doc_id % 250) THEN '' ELSE '-' || left(sha256(CAST(doc_id AS VARCHAR)), 12) END || '.json' AS file_name, json
+      FROM ({json_sql()})""",
+    "file_checks": f"""WITH asked AS (SELECT doc_id, 'né+ ' || doc_id || CASE WHEN doc_id % 5 = 1 THEN '.docx' ELSE '.TXT' END AS file_name, CASE WHEN doc_id % 6 = 2 THEN ' ' || chr(10) || chr(9) || ' ' ELSE coalesce(text, '') END AS t FROM documents),
+      checked AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN 400 WHEN doc_id % 7 IN (3, 5, 6) THEN 500 WHEN {BLANK} THEN 422 ELSE 200 END AS status FROM asked WHERE t <> '' OR doc_id % 7 IN (3, 5, 6))
+      SELECT file_name, CAST(status AS INTEGER) AS status, CASE WHEN status = 200 THEN md5(t) END AS text_md5 FROM checked""",
+    "split_lines": f"WITH {BINDERS}, {lines('binders')} SELECT doc_id AS file_name, line_no, kind, heading_id, md5(stripped) AS line_md5 FROM lines",
+    "split_segments": f"""WITH {BINDERS}, {lines('binders')}, {SEGMENTS}, {PARENTS}
+      SELECT doc_id AS file_name, seg_no, clause_id, level, title, parent_clause, md5(text) AS text_md5 FROM segments JOIN parents USING (doc_id, seg_no)""",
+    "stream_requests": f"""{CORE}, {PARENTS}, asked AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 4 AND doc_id % 3 > 0 THEN file_name ELSE 'inline.txt' END AS file_name,
+        CASE WHEN doc_id % 11 = 4 THEN 500 WHEN doc_id % 7 = 0 OR {BLANK.replace("(t,", "(text,")} THEN 400 ELSE 200 END AS status FROM policies)
+      SELECT file_name, CAST(status AS INTEGER) AS status, seg_no, clause_id, parent_clause, md5(text) AS text_md5 FROM asked JOIN segments USING (doc_id) JOIN parents USING (doc_id, seg_no) WHERE status = 200
+      UNION ALL SELECT file_name, CAST(status AS INTEGER), 0, NULL, NULL, NULL FROM asked WHERE status <> 200""",
     "segment_preview": f"{CORE} SELECT doc_id, seg_no, level, clause_id, left(title, 45) AS title FROM segments WHERE seg_no <= 5",
     "stream_segments": f"{CORE} SELECT doc_id, seg_no, clause_id, level, title, text FROM segments",
 }
