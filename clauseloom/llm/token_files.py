@@ -232,8 +232,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     closing = np.array([end], "<u4")
     for batch in batches:
         held, size = [], 0
-        for i, text in enumerate(batch.column(1)):
-            held.append(text.as_py().encode())
+        for i, text in enumerate(batch.column(1).cast(pa.binary())):
+            held.append(text.as_py())
             size += len(held[-1])
             if size >= AT_ONCE or i == len(batch) - 1:
                 ids = batch.column(0).slice(i + 1 - len(held), len(held)).to_pylist()
