@@ -188,7 +188,7 @@ def test_abbreviations_are_learned(spark):
     with_period, without, short = brute_types(TEXTS)
     assert {t: (r.with_period, r.without_period) for t, r in rows.items()} == {t: (with_period[t], without[t]) for t in {*with_period, *without}}
     assert {t for t, r in rows.items() if r.abbreviation} == short and {"dr", "appr", "e.g"} <= short and "left" not in short
-    assert (rows["there"].small, rows["there"].capital_inside) == (6, 6) and rows["the"].small > 0
+    assert (rows["there"].small, rows["there"].capital_inside) == (6, 0) and rows["the"].small > 0
     none = judged_types(type_counts(spark.createDataFrame([("no period",)], "text string")))
     assert {r.abbreviation for r in none.collect()} == {False} and judged_types(counts.limit(0)).collect() == []
 
