@@ -128,7 +128,7 @@ def plan(n: int, together: np.ndarray, max_distance: int, probe_cost: float = 20
         for part in parts:
             near, step = within(rates[part], max_distance), {}
             for used, (so_far, chosen) in cost[-1].items():
-                for t in range(-1, max_distance + 1 - used):
+                for t in range(-1, min(max_distance - used, len(part)) + 1):
                     probes = sum(comb(len(part), k) for k in range(t + 1))
                     c = so_far + (probe_cost * n * probes + n * (n - 1) / 2 * near[t] if t >= 0 else 0.0)
                     if used + t + 1 not in step or c < step[used + t + 1][0]:
@@ -155,8 +155,11 @@ def probes(prints: np.ndarray, parts: list[tuple[list[int], int]]) -> Iterator[t
                 yield ((values[at] ^ flip) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)).view(np.int64), at, flips > 0
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, probing: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within runs of equal keys; the rows of a run are listed ones first. Whole runs only."""
+def bucket_links(keys: np.ndarray, prints: np.ndarray, probing: np.ndarray, max_distance: int, levels: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within runs of equal keys; the rows of a run are listed ones first. Whole runs only.
+
+    A small run gives all its links, a larger one a forest that spans them; lesser distances in ``levels`` have forests of their own.
+    """
     prints = prints.view(np.uint64)  # bitwise_count takes absolute values
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
@@ -169,26 +172,31 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, probing: np.ndarray, max_
         yield prints[i].view(np.int64), prints[i + lag].view(np.int64)
     for start, stop in zip(starts[sizes > SMALL].tolist(), stops[sizes > SMALL].tolist(), strict=True):
         own = int((~probing[start:stop]).sum())
-        listed, asking = prints[start : start + own], prints[start + own : stop]
-        while len(listed):
-            queue, listed = [(listed[0], False)], listed[1:]
-            while queue:
-                x, asks = queue.pop()
-                near = np.bitwise_count(listed ^ x) <= max_distance
-                found = listed[near]
-                listed = listed[~near]
-                queue += [(y, False) for y in found]
-                if not asks:
-                    near = np.bitwise_count(asking ^ x) <= max_distance
-                    queue += [(y, True) for y in asking[near]]
-                    found = np.concatenate([found, asking[near]])
-                    asking = asking[~near]
-                if len(found):
-                    yield np.full(len(found), x).view(np.int64), found.view(np.int64)
-
-
-def links(prints: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that span every component of the graph of all links."""
+        for distance in (*levels, max_distance):
+            yield from spanning(prints[start : start + own], prints[start + own : stop], distance)
+
+
+def spanning(listed: np.ndarray, asking: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A forest of the links between listed fingerprints, and of these with those that ask."""
+    while len(listed):
+        queue, listed = [(listed[0], False)], listed[1:]
+        while queue:
+            x, asks = queue.pop()
+            near = np.bitwise_count(listed ^ x) <= max_distance
+            found = listed[near]
+            listed = listed[~near]
+            queue += [(y, False) for y in found]
+            if not asks:
+                near = np.bitwise_count(asking ^ x) <= max_distance
+                queue += [(y, True) for y in asking[near]]
+                found = np.concatenate([found, asking[near]])
+                asking = asking[~near]
+            if len(found):
+                yield np.full(len(found), x).view(np.int64), found.view(np.int64)
+
+
+def links(prints: DataFrame, max_distance: int = 4, levels: tuple[int, ...] = ()) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that span every component of the graph of all links, and those within each lesser distance of ``levels``."""
     n, together = bit_counts(prints)
     parts = plan(n, together, max_distance)
 
@@ -203,7 +211,7 @@ def links(prints: DataFrame, max_distance: int = 4) -> DataFrame:
 
         def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
-                for a, b in bucket_links(rows[0], rows[2], rows[1], max_distance):
+                for a, b in bucket_links(rows[0], rows[2], rows[1], max_distance, levels):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
