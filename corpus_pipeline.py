@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, mixing, simhash, substrings, toxicity
+from clauseloom.llm import bpe, mixing, near_copies, substrings, toxicity
 from clauseloom.llm.common import removed, table, written
 
 
@@ -26,12 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the least doc_id.
+    """One document of each group of near copies stays, the one with the least doc_id: SimHash candidates that share 0.8 of their five-word shingles.
 
-    Null texts count as empty, and those without words are one component; of repeated rows one stays; rows
-    without a doc_id stay only where their component has no other; an empty table stays empty.
+    Null texts count as empty, and those without words are one group; of repeated rows one stays; rows
+    without a doc_id stay only where their group has no other; an empty table stays empty.
     """
-    return simhash.without_copies(docs)
+    return near_copies.without_copies(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
