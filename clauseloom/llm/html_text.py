@@ -7,7 +7,8 @@ blocks labelled as article are the main text.
 
 The labeller is trained here, on pages that :func:`made_up_page` lays out in many ways (bounded: ``PAGES``),
 with a fixed seed, so every run has the same weights. Text and markup of the made-up pages are random
-but for the usual names of page parts; the pages of a corpus are never used for training.
+but for the usual names of page parts; elements whose names tell nothing stand around the article and other parts, so
+that content and place decide there. The pages of a corpus are never used for training. What is hidden isn't read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import mapped
 
 PATH, WORDS, MEASURES = 112, 48, 6
 D = PATH + WORDS + MEASURES
-HIDDEN, PAGES, EPOCHS, BATCH, RATE = 20, 2000, 8, 50, 0.015
+HIDDEN, PAGES, EPOCHS, BATCH, RATE = 20, 4000, 12, 50, 0.02
 #: Words of a block up to which each weighs the same.
 USUAL = 16
 #: Pages that are labelled at once.
@@ -184,7 +185,7 @@ def end_tag(page: str, name: str, at: int) -> int | None:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, white space normalised, empty ones left out."""
+    """The text blocks of a page in order, white space normalised; empty ones and those that are hidden are left out."""
     out: list[Block] = []
     root = Path(None, (), [])
     stack: list[tuple[str, Path]] = []
@@ -199,7 +200,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             words = "".join(text).split()
-            if words:
+            if words and not open_tokens[".hidden"]:
                 out.append(Block(stack[-1][1] if stack else root, " ".join(words), linked))
             text.clear()
         linked = 0
@@ -320,6 +321,18 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
     def link(text: str) -> str:
         return f'<a href="/{rng.randint(1, 999)}">{text}</a>'
 
+    def neutral() -> str:
+        """The attribute of an element whose name tells nothing."""
+        if rng.random() < 0.2:
+            return ""
+        plain = [rng.choice(("wrap", "row", "col", "box", "block", "inner", "outer", "page", "grid", "container", "wrapper", "section", "primary", "layout", "site", "center", "left", "right")), rng.choice(syllables), rng.choice("abcdexyz") + rng.choice(("-", "")) + str(rng.randint(1, 99)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))]
+        return f' {rng.choice(["class", "class", "id"])}="{" ".join(rng.sample(plain, rng.choice((1, 1, 2))))}{rng.choice(("", "", "-" + str(rng.randint(1, 12))))}"'
+
+    def wrapped(inner: str, most: int) -> str:
+        for _ in range(rng.randint(0, most)):
+            inner = f"<div{neutral()}>{inner}</div>"
+        return inner
+
     def attr(*names: str) -> str:
         return f' {rng.choice(["class", "id", "class"])}="{rng.choice(names)}{rng.choice(["", "", " x" + str(rng.randint(1, 9)), "-" + rng.choice(syllables[:5])])}"'
 
@@ -390,9 +403,15 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
             out.append(f"<p>{said(words(20))}</p>")
         return "".join(out)
 
+    around = rng.random() < 0.6  # elements of neutral names stand around the article and other parts
     tag, a = rng.choice([("article", ""), ("article", ""), ("article", ""), ("main", ""), ("article", attr("post", "entry", "story")), ("div", attr("content", "main", "article", "post", "entry-content", "story", "body", "text")), ("section", attr("content", "article-body", "main")), ("td", attr("content", "main"))])
+    if around and rng.random() < 0.75:
+        tag, a = rng.choice(["div", "div", "div", "section", "main", "td"]), neutral()
     body = article()
     main = f"<{tag}{a}>{body}</{tag}>"
+    if around and tag == "div" and rng.random() < 0.3:  # each block, or some of them, in an element of its own
+        pieces, each = re.split(r"(?<=</p>)(?=<p>)|(?<=</h1>)|(?<=</h2>)", body), neutral()
+        main = "".join(f"<div{each if rng.random() < 0.7 else neutral()}>{p}</div>" for p in pieces)
     if tag == "td":
         main = f"<table><tr><td>{menu()}</td>{main}</tr></table>"
     elif rng.random() < 0.25:
@@ -401,6 +420,12 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
     after = [f() for f in rng.sample([footer, comments, sidebar, advert, form, notice], rng.randint(0, 4))]
     if rng.random() < 0.5:
         before, after = [menu(), *([advert()] if rng.random() < 0.7 else [])], [footer()]
+    if around:
+        main, before, after = wrapped(main, 3), [wrapped(x, 1) for x in before], [wrapped(x, 1) for x in after]
+        if rng.random() < 0.3:  # something stands beside the article, in one element with it
+            main = f"<div{neutral()}>{main}{rng.choice([sidebar, comments, form, advert])()}</div>"
+        if rng.random() < 0.4:
+            before, main, after = [], wrapped("".join(before) + main + "".join(after), 2), []
     if tag in ("article", "div", "section") and rng.random() < 0.12:
         main = main.removesuffix(f"</{tag}>") + f"{comments()}</{tag}>"
     bare = rng.random()
