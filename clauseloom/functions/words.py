@@ -31,11 +31,11 @@ CONTRACTION = r"(?i)(\p{L})(n['’]t|['’](?:s|ll|re|ve|m|d))\b"
 JOINED = r"(?i)\b(can)(not)\b|\b(gon)(na)\b|\b(gim)(me)\b|\b(lem)(me)\b|\b(got)(ta)\b|\b(wan)(na)\b"
 
 
-def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
+def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIONS, ends: Column | None = None) -> Column:
     """Tokens in order, cut by the usual treebank rules.
 
     Marks and quotes split, as do contractions; hyphens, slashes and inner periods don't. A token's last
-    period goes, unless the token is an abbreviation inside the text.
+    period goes, unless the token is an abbreviation inside the text; ``ends`` tells where a line is the last one of its text.
     """
     out = replace(text, ALWAYS_SPLIT, " ")
     out = replace(out, COMMA_SPLIT, " $1")
@@ -44,11 +44,12 @@ def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIO
     tokens = F.filter(F.split(out, rf"[{WS}]+", -1), lambda t: t != "")
     listed = F.array(*map(F.lit, (f"{a}." for a in abbreviations)))
     bare = lambda t: replace(replace(t, r"[.]+['’]*\z|['’]+\z", ""), r"^['‘’]+", "")
-    return F.transform(tokens, lambda t, i: F.when(F.array_contains(listed, F.lower(t)) & (i < F.size(tokens) - 1), t).otherwise(bare(t)))
+    inside = lambda i: i < F.size(tokens) - 1 if ends is None else (i < F.size(tokens) - 1) | ~ends
+    return F.transform(tokens, lambda t, i: F.when(F.array_contains(listed, F.lower(t)) & inside(i), t).otherwise(bare(t)))
 
 
-def key_words(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+def key_words(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, ends: Column | None = None) -> Column:
     """Lower-cased tokens of three letters or more, without stop words, in order."""
-    letters = F.filter(word_tokens(text), lambda t: t.rlike(rf"^\p{{L}}{{{LEAST_LETTERS},}}\z"))
+    letters = F.filter(word_tokens(text, ends=ends), lambda t: t.rlike(rf"^\p{{L}}{{{LEAST_LETTERS},}}\z"))
     lower = F.transform(letters, lambda t: F.lower(t))
     return F.filter(lower, lambda t: ~t.isin(*stop_words)) if stop_words else lower

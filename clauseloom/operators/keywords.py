@@ -26,3 +26,26 @@ def with_keywords(segments: DataFrame, top_n: int = TOP, stop_words: tuple[str,
     words = F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("rank", "word"))))
     out = top.groupBy("doc_id", "seg_no").agg(F.first("own", ignorenulls=True).alias("own"), words.alias("words"))
     return out.select("doc_id", "seg_no", "own.*", F.col("words.word").alias("keywords")).select(*segments.columns, "keywords")
+
+
+#: Neighbouring lines of a segment that are cut into words together, and shares that its words are ranked in.
+LINES, SHARES = 256, 64
+
+
+def with_keywords_in_chunks(segments: DataFrame, top_n: int = TOP, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """As :func:`with_keywords`, for segments of any size: their lines are dealt out and no window holds a segment's words.
+
+    Words are counted by (segment, word). The first ``top_n`` are those of the first ``top_n`` of each share by the word's hash.
+    """
+    keys = ["doc_id", "seg_no"]
+    split = F.split("text", "\n", -1)
+    lines = segments.select(*keys, (F.size(split) - 1).alias("last"), F.posexplode(split).alias("line_no", "line"))
+    lines = lines.withColumn("chunk", F.floor(F.col("line_no") / LINES)).repartition(*keys, "chunk")
+    words = key_words("line", stop_words, F.col("line_no") == F.col("last"))
+    rows = lines.select(*keys, "line_no", F.posexplode(words).alias("pos", "word"))
+    counts = rows.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "pos")).alias("place"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(F.desc("n"), "place"))
+    some = counts.withColumn("share", F.pmod(F.xxhash64("word"), F.lit(SHARES))).withColumn("rank", rank("share")).where(F.col("rank") <= top_n)
+    top = some.withColumn("rank", rank()).where(F.col("rank") <= top_n)
+    found = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("keywords"))
+    return segments.join(found, keys, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))

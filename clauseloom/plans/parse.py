@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions.sentences import context
 from clauseloom.functions.text import clean_text
 from clauseloom.functions.words import ABBREVIATIONS, STOP_WORDS
-from clauseloom.operators.keywords import TOP, with_keywords
+from clauseloom.operators.keywords import TOP, with_keywords, with_keywords_in_chunks
 from clauseloom.operators.lines import classify, explode_lines
 from clauseloom.operators.segments import group_lines, with_parents
 from clauseloom.operators.split import group_lines_in_chunks, with_parents_in_chunks
@@ -50,7 +50,7 @@ def parse_files(spark: SparkSession, path: str, top_n: int = TOP, stop_words: tu
     More shuffles than the parse by documents, which is the way for many small ones.
     """
     segments = segment_files(spark, path)
-    segments = with_keywords(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
+    segments = with_keywords_in_chunks(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
     return segments.select("doc_id", "seg_no", named(F.col("doc_id")), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import clean_text
 from clauseloom.operators.abbreviations import judged_types, type_counts, with_context
+from clauseloom.operators.keywords import with_keywords_in_chunks
 from clauseloom.operators.lines import classify
 from clauseloom.operators.segments import group_lines
 from clauseloom.plans.parse import classified_lines, grouped_documents, parse_documents, segment_documents, segment_files
@@ -161,6 +162,18 @@ def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(io.named(F.col("doc_id")), "seg_no", "clause_id", "level", "title", "parent_clause", F.md5("text").alias("text_md5"))
 
 
+def split_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of segments counted in chunks of their lines."""
+    return with_keywords_in_chunks(grouped_documents(policies(spark, sf_dir))).select("doc_id", "seg_no", F.array_join("keywords", " ").alias("keywords"))
+
+
+def envelope_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes in parts of 2,000 characters."""
+    docs = policies(spark, sf_dir)
+    found = io.envelope_parts(docs, parse_documents(docs), most_chars=2_000)
+    return found.select("doc_id", "file_name", "total_segments", "from_segment", F.array_join("segments.clause_id", " ").alias("clause_ids"))
+
+
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered documents as JSON requests, some malformed, blank or without a name, read as a stream; what it has published of both tables."""
     docs = policies(spark, sf_dir)
@@ -177,5 +190,5 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (level_counts, clean_documents, line_kinds, heading_vetoes, segments_core, segment_parents, preambles, segment_keywords, segment_context, abbreviation_types, learned_context, document_envelope, rejects, segment_preview, segments_json, text_requests, stream_segments, json_files, file_checks, split_lines, split_segments, stream_requests)
+    for f in (level_counts, clean_documents, line_kinds, heading_vetoes, segments_core, segment_parents, preambles, segment_keywords, segment_context, abbreviation_types, learned_context, document_envelope, rejects, segment_preview, segments_json, text_requests, stream_segments, json_files, file_checks, split_lines, split_segments, split_keywords, envelope_parts, stream_requests)
 }

@@ -109,6 +109,30 @@ def envelopes(docs: DataFrame, segments: DataFrame) -> DataFrame:
     return joined.select("doc_id", "file_name", F.coalesce("total_segments", F.lit(0)).alias("total_segments"), F.coalesce(plain, empty).alias("segments"))
 
 
+def envelope_parts(docs: DataFrame, segments: DataFrame, most_chars: int = 1 << 20, chunk_bits: int = 12) -> DataFrame:
+    """(doc_id, file_name, total_segments, from_segment, segments): envelopes in parts of at most ``most_chars`` characters of text.
+
+    A document's parts, by ``from_segment``, hold its segments in order. Texts laid end to end, a part is what lies in one stretch of
+    that length, and a segment that reaches over a stretch's end is a part by itself; so only one that is longer makes a larger row.
+    A document without segments has one part without any. Places are running sums in two levels, so no window holds a document.
+    """
+    sized = segments.select("doc_id", "seg_no", F.char_length("text").cast("long").alias("n"), F.shiftright("seg_no", chunk_bits).alias("chunk"))
+    over = lambda *by: Window.partitionBy("doc_id", *by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("doc_id", "chunk").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    total = F.sum("k").over(Window.partitionBy("doc_id")).cast("int").alias("total_segments")
+    sums = sums.select("doc_id", "chunk", total, F.coalesce(F.sum("n").over(over().orderBy("chunk")), F.lit(0)).alias("earlier"))
+    begin = F.coalesce(F.sum("n").over(over("chunk").orderBy("seg_no")), F.lit(0))
+    placed = sized.withColumn("begin", begin).join(sums, ["doc_id", "chunk"]).withColumn("begin", F.col("begin") + F.col("earlier"))
+    stretch = lambda at: F.floor(at / F.lit(most_chars)).cast("long")
+    placed = placed.select("doc_id", "seg_no", "total_segments", stretch(F.col("begin")).alias("first"), stretch(F.col("begin") + F.greatest(F.col("n") - 1, F.lit(0))).alias("last"))
+    own = F.struct("seg_no", *[F.col(c) for c in FIELDS])
+    joined = segments.select("doc_id", "seg_no", own.alias("own")).join(placed, ["doc_id", "seg_no"])
+    parts = joined.groupBy("doc_id", "first", "last").agg(F.first("total_segments").alias("total_segments"), F.min("seg_no").alias("from_segment"), F.array_sort(F.collect_list("own")).alias("segments"))
+    plain = F.transform("segments", lambda s: F.struct(*[s[c].alias(c) for c in FIELDS]))
+    empty = F.array().cast(segments_type(segments))
+    return docs.select("doc_id", "file_name").join(parts, "doc_id", "left").select("doc_id", "file_name", F.coalesce("total_segments", F.lit(0)).alias("total_segments"), F.coalesce("from_segment", F.lit(0)).alias("from_segment"), F.coalesce(plain, empty).alias("segments"))
+
+
 def segments_type(segments: DataFrame) -> str:
     return "array<struct<" + ", ".join(f"{c}: {segments.schema[c].dataType.simpleString()}" for c in FIELDS) + ">>"
 

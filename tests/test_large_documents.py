@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import clean_text
-from clauseloom.operators import split
+from clauseloom.operators import keywords, split
 from clauseloom.operators.abbreviations import judged_types, type_counts, with_context
 from clauseloom.operators.lines import classify, explode_lines
 from clauseloom.operators.segments import with_parents
@@ -200,3 +200,37 @@ def test_contexts_by_learned_abbreviations(spark):
     found = [r.context for r in with_context(rows, types).orderBy("seg_no").collect()]
     # 'he' is written small elsewhere and never capital inside a sentence; 'Smith' is never small
     assert found == ["We saw appr. Smith there. Then Dr. Jones left.", "It came to appr. He left.", "", "One only", ".", "J. Doe came. No."]
+
+
+def test_keywords_of_segments_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "LINES", 3)
+    monkeypatch.setattr(keywords, "SHARES", 4)
+    rng = random.Random(5)
+    vocabulary = [*(f"{a}{b}ord" for a in "bcdfgl" for b in "aeiou"), "the", "etc.", "isn't", "U.S.", "one,\ntwo", "fig.\n", "a\n\nb"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 5, 60, 3_000)] + ["", "etc.", "see fig.\netc.", "1 2 3"]
+    rows = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)], "doc_id long, seg_no int, text string").withColumn("chunk", F.lit("c"))
+    for n in (1, 5, 40):
+        want = {tuple(r) for r in keywords.with_keywords(rows.drop("chunk"), n).selectExpr("seg_no", "array_join(keywords, ' ')").collect()}
+        assert {tuple(r) for r in keywords.with_keywords_in_chunks(rows, n).selectExpr("seg_no", "array_join(keywords, ' ')").collect()} == want
+
+
+def test_a_segment_of_ten_million_words(spark):
+    """No task ranks more than a share of its words; all words but the first few differ."""
+    line = F.concat_ws(" ", F.lit("first second first"), F.transform(F.sequence(F.lit(0), F.lit(97)), lambda k: F.concat(F.lit("w"), F.translate((F.col("id") * 98 + k).cast("string"), "0123456789", "abcdefghij"))))
+    parts = spark.range(100_000).select((F.col("id") % 20).alias("part"), "id", line.alias("line"))
+    text = parts.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list(F.struct("id", "line")))["line"], "\n").alias("text")).groupBy().agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", "text")))["text"], "\n").alias("text"))
+    (row,) = keywords.with_keywords_in_chunks(text.select(F.lit(1).alias("doc_id"), F.lit(1).alias("seg_no"), "text"), 3).select("keywords").collect()
+    assert row.keywords == ["first", "second", "waaa"]
+
+
+@pytest.mark.parametrize(("most", "bits"), [(5, 12), (40, 1), (10**6, 12)])
+def test_parts_of_envelopes_make_the_whole(spark, most, bits):
+    docs = spark.createDataFrame([(0, "a", SAMPLE), (1, "b", "- x"), (2, "c", "\n".join(f"{i} Title\n{'x' * (i % 9)}y" for i in range(1, 60)))], "doc_id long, file_name string, text string")
+    segments = parse_documents(docs)
+    parts = {}
+    for r in io.envelope_parts(docs, segments, most, bits).orderBy("doc_id", "from_segment").collect():
+        assert len(r.segments) == 1 or sum(len(s.text) for s in r.segments) <= most
+        whole = parts.setdefault(r.doc_id, (r.file_name, r.total_segments, []))
+        assert whole[:2] == (r.file_name, r.total_segments)
+        whole[2].extend(r.segments)
+    assert parts == {r.doc_id: (r.file_name, r.total_segments, r.segments) for r in io.envelopes(docs, segments).collect()}
