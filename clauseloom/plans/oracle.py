@@ -191,8 +191,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'rendered', * FROM ({CORE} {PREAMBLE})""",
     "segment_keywords": f"""{CORE}, {keywords()}
       SELECT s.doc_id, s.seg_no, coalesce(array_to_string(keywords, ' '), '') AS keywords FROM segments s LEFT JOIN top USING (doc_id, seg_no)""",
-    "envelope_parts": f"""{CORE}, sized AS (SELECT doc_id, seg_no, clause_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM segments),
-      parts AS (SELECT doc_id, min(seg_no) AS from_segment, string_agg(clause_id, ' ' ORDER BY seg_no) AS clause_ids FROM sized GROUP BY doc_id, at // 2000, (at + n - 1) // 2000),
+    "envelope_parts": f"""{CORE}, sized AS (SELECT doc_id, seg_no, clause_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM segments),
+      parts AS (SELECT doc_id, min(seg_no) AS from_segment, string_agg(clause_id, ' ' ORDER BY seg_no) AS clause_ids FROM sized GROUP BY doc_id, begun // 2000, (begun + n - 1) // 2000),
       totals AS (SELECT doc_id, count(*) AS n FROM segments GROUP BY doc_id)
       SELECT p.doc_id, p.file_name, CAST(coalesce(n, 0) AS INTEGER) AS total_segments, coalesce(from_segment, 0) AS from_segment, coalesce(clause_ids, '') AS clause_ids FROM policies p LEFT JOIN parts USING (doc_id) LEFT JOIN totals USING (doc_id)""",
     "segment_context": f"{CORE}, {contexts()} SELECT doc_id, seg_no, context FROM contexts",
