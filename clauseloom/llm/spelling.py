@@ -196,7 +196,9 @@ def near_words(words: DataFrame) -> DataFrame:
     sized = words.select("word", "n", F.char_length("word").alias("length"))
     sizes = {r["length"]: r["count"] for r in sized.groupBy("length").count().where(F.col("count") > CELL).collect()}
     sample: dict[int, list[str]] = defaultdict(list)
-    for r in sized.select("word", "length", F.xxhash64("word").alias("turn")).orderBy("turn", "word").limit(SAMPLE).collect():
+    # twice as many as needed have a hash below the bound, so that no task sends the driver as many as that
+    bound = int(min(1.0, 2 * SAMPLE / max(1, sized.count())) * (1 << 64)) - (1 << 63) - 1
+    for r in sized.select("word", "length", F.xxhash64("word").alias("turn")).where(F.col("turn") <= bound).orderBy("turn", "word").limit(SAMPLE).collect():
         sample[r["length"]].append(r["word"])
     trees = {}
     for length in {*sizes, *(x + 1 for x in sizes)}:
