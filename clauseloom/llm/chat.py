@@ -4,10 +4,11 @@ A turn is written ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Control strings insi
 behind their first character, one more than they had, so that texts of any content can be read back.
 For all turns of a batch, segment lengths and cumulative offsets are computed in numpy; headers, texts
 and footers are then scattered into one buffer, which becomes the values of an Arrow string column.
+Long texts are copied as they are, so that only short ones have an index for each byte.
 
 Rows of a conversation are brought together and sorted by turn; a task streams through them. A
-conversation is one output row, unless it is longer than ``max_turns`` rows: then it goes on in
-further parts, so that no task ever holds a whole huge conversation.
+conversation is one output row, unless it is longer than ``max_turns`` rows or ``max_bytes``: then it goes
+on in further parts, so that no task ever holds a whole huge conversation.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ PARTS = T.StructType(
 )
 
 
+#: Texts of more bytes are copied as a whole; of shorter ones so many bytes are scattered at once.
+LONG, AT_ONCE = 1 << 12, 1 << 20
+
+
 def escape(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, ESCAPE, r"\1\\\2\3")
 
@@ -61,6 +66,18 @@ def role_read(name: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], name) if "\\" in name else name
 
 
+def scatter(out: np.ndarray, into: np.ndarray, source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    """Copies ``sizes`` bytes from each of ``starts`` to each of ``into``: short runs by index, at most ``AT_ONCE`` bytes of them together."""
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[into[i] : into[i] + sizes[i]] = source[starts[i] : starts[i] + sizes[i]]
+    short = np.flatnonzero(sizes <= LONG)
+    turn = np.cumsum(sizes[short]) // AT_ONCE
+    for some in np.split(short, np.flatnonzero(np.diff(turn)) + 1):
+        size = sizes[some]
+        shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(into[some], size) + shift] = source[np.repeat(starts[some], size) + shift]
+
+
 def assemble(roles: pa.Array, texts: pa.Array, breaks: np.ndarray, learned: str) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Formatted text of each run of turns (run ``i`` ends before turn ``breaks[i]``), and its loss spans in code points.
 
@@ -82,27 +99,27 @@ def assemble(roles: pa.Array, texts: pa.Array, breaks: np.ndarray, learned: str)
     at = np.concatenate([[0], np.cumsum(lengths)])
     out = np.empty(at[-1], np.uint8)
     for column, starts, source in ((0, header_at[which], pool), (1, text_at[:-1], content), (2, np.full(n, header_at[len(names)]), pool)):
-        size = lengths[:, column]
-        into = at[column:-1:3]
-        shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(into, size) + shift] = source[np.repeat(starts, size) + shift]
-    points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])  # code points before each byte
+        scatter(out, at[column:-1:3], source, starts, lengths[:, column])
+    shown = np.array([len(h.decode()) for h in headers], np.int64)
+    inside = np.stack([shown[which], pc.utf8_length(texts).to_numpy(zero_copy_only=False), np.full(n, shown[-1])], axis=1)
+    points = np.concatenate([[0], np.cumsum(inside)])  # code points before each segment
     first = np.concatenate([[0], breaks[:-1]]).astype(np.int64)
     formatted = pa.LargeStringArray.from_buffers(len(breaks), pa.py_buffer(np.concatenate([[0], at[3 * breaks]]).astype(np.int64)), pa.py_buffer(out))
     wanted = np.flatnonzero(which == names.index(learned)) if learned in names else np.zeros(0, np.int64)
     run = np.searchsorted(breaks, wanted, side="right")
-    origin = points[at[3 * first[run]]]
+    origin = points[3 * first[run]]
     edges = pa.array(np.searchsorted(run, np.arange(len(breaks) + 1)).astype(np.int32))
-    spans = [pa.ListArray.from_arrays(edges, pa.array(points[at[3 * wanted + k]] - origin)) for k in (1, 2)]
+    spans = [pa.ListArray.from_arrays(edges, pa.array(points[3 * wanted + k] - origin)) for k in (1, 2)]
     return formatted.cast(pa.string()), *spans
 
 
-def format_chats(turns: DataFrame, learned: str = "assistant", max_turns: int = 4096) -> DataFrame:
+def format_chats(turns: DataFrame, learned: str = "assistant", max_turns: int = 4096, max_bytes: int = 1 << 24) -> DataFrame:
     """Formats (conv_id, turn, role, text): rows of ``PARTS``, a conversation's parts in a row and in order.
 
     ``loss_starts`` and ``loss_ends`` mark, in code points of ``formatted``, the texts to learn from.
     Null texts and roles count as empty; rows of one turn number go by role and text, repeats stay; rows
     without a conv_id make one conversation without an id; null turns come first. Other columns are ignored.
+    A task holds ``max_bytes`` of text and one turn, beside the batch that Spark hands it.
     """
     whole = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
     dealt = whole.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -118,12 +135,23 @@ def format_chats(turns: DataFrame, learned: str = "assistant", max_turns: int =
         parts[0] = part
         return pa.RecordBatch.from_arrays([ids.take(pa.array(breaks - 1)), pa.array(parts), pa.array(np.diff(np.concatenate([[0], breaks]))), formatted, starts, ends], PARTS.names)
 
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        """Runs of at most ``max_turns`` rows and ``max_bytes`` of text; a longer turn has one of its own."""
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + max_bytes, side="right"))
+            stop = min(max(stop, start + 1), start + max_turns)
+            yield start, stop
+            start = stop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = None, 0  # the rows of the last conversation that aren't out yet; how many parts of it are
         out_of: list = []  # the conversation whose parts are out
         for batch in batches:
-            for start in range(0, len(batch), max_turns):
-                some = pa.Table.from_batches([batch.slice(start, max_turns)]).select(["conv_id", "role", "text"])
+            for start, stop in slices(batch):
+                some = pa.Table.from_batches([batch.slice(start, stop - start)]).select(["conv_id", "role", "text"])
                 some = pa.concat_tables([held, some]).combine_chunks() if held is not None else some
                 ids = some.column("conv_id").to_pylist()
                 if out_of != ids[:1]:
@@ -135,7 +163,7 @@ def format_chats(turns: DataFrame, learned: str = "assistant", max_turns: int =
                     yield flush(some.slice(0, last), part)
                     part = 0
                 held = some.slice(last)
-                if len(held) >= max_turns:
+                if len(held) >= max_turns or pc.sum(pc.binary_length(held.column("text"))).as_py() >= max_bytes:
                     yield flush(held, part)
                     held, part, out_of = held.slice(len(held)), part + 1, ids[-1:]
         if held is not None and len(held):
@@ -153,13 +181,13 @@ def read_back(parts: DataFrame, learned: str = "assistant") -> DataFrame:
         now: list | None = None
         for batch in batches:
             done = []
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(len(batch))):
                 if now is None or row["part"] == 0:
                     if now is not None:
                         done.append(now)
                     now = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 text = row["formatted"]
-                for role, turn in TURN.findall(text):
+                for role, turn in (m.groups() for m in TURN.finditer(text)):
                     now[1] += 1
                     now[2].update(f"{role_read(role)}\n{unescape(turn)}\n".encode())
                 for i, j in zip(row["loss_starts"], row["loss_ends"], strict=True):

@@ -443,3 +443,15 @@ def test_spaced_words_are_found_one_by_one(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
     score = {r.doc_id: r.score for r in toxicity.scored(docs, labels).where("doc_id >= 10000").collect()}
     assert [score[i] >= 0.5 for i in asked] == [True] * len(spaced) + [False] * len(clean)
+
+
+def test_long_turns_go_out_in_parts(spark):
+    rows = [(7, k, "assistant" if k % 2 else "user", f"{k}:" + "é<|im_end|>x" * (9000 if k % 3 else 5)) for k in range(40)] + [(8, 0, "user", "short")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.format_chats(turns, max_bytes=300_000)
+    assert parts.where("conv_id = 7").count() > 3
+    assert parts.agg(F.max(F.octet_length("formatted"))).first()[0] < 800_000
+    cut_up, at_once = (chat.read_back(p).orderBy("conv_id").collect() for p in (parts, chat.format_chats(turns)))
+    assert cut_up == at_once
+    learnt = "".join(t for c, _, role, t in rows if c == 7 and role == "assistant")
+    assert (cut_up[0].loss_chars, cut_up[0].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
