@@ -9,8 +9,9 @@ candidates and probes. Each fingerprint is listed under its value in a partition
 within the threshold; what meets there is verified on all 64 bits.
 
 Only distinct fingerprints take part, and a bucket yields a spanning forest of its links instead of all
-its pairs; what is linked already leaves the search, so dense buckets cost little. Components are then
-found over these links.
+its pairs; what is linked already leaves the search, so dense buckets cost little. A large bucket whose
+members are far apart is split by further bits, by the same principle. Components are then found over
+these links.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .common import cut, mapped
 from .components import components
 
 BITS = 64
-#: Buckets of up to so many members are compared all together, larger ones one by one.
-SMALL = 24
+#: Buckets of up to so many members are compared all together, larger ones one by one; parts of a split one, whose members are far apart, up to more.
+SMALL, SMALL_PART = 24, 96
+#: A bucket that still has more than so many members after so many comparisons with one of them is split.
+LARGE, STEPS = 1 << 14, 64
 #: Shingles that are hashed at once.
 AT_ONCE = 1 << 16
 
@@ -155,32 +158,43 @@ def probes(prints: np.ndarray, parts: list[tuple[list[int], int]]) -> Iterator[t
                 yield ((values[at] ^ flip) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)).view(np.int64), at, flips > 0
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, probing: np.ndarray, max_distance: int, levels: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_links(keys: np.ndarray, prints: np.ndarray, probing: np.ndarray, max_distance: int, levels: tuple[int, ...] = (), free: int = (1 << BITS) - 1, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within runs of equal keys; the rows of a run are listed ones first. Whole runs only.
 
     A small run gives all its links, a larger one a forest that spans them; lesser distances in ``levels`` have forests of their own.
+    ``free`` are the bits that runs weren't made by.
     """
     prints = prints.view(np.uint64)  # bitwise_count takes absolute values
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
     sizes = stops - starts
     size_at = np.repeat(sizes, sizes)
-    small = size_at <= SMALL
-    for lag in range(1, min(SMALL, int(sizes.max()))):
-        i = np.flatnonzero(small[:-lag] & (keys[:-lag] == keys[lag:]) & ~probing[:-lag])
+    few = size_at <= small
+    for lag in range(1, min(small, int(sizes.max()))):
+        i = np.flatnonzero(few[:-lag] & (keys[:-lag] == keys[lag:]) & ~probing[:-lag])
         i = i[np.bitwise_count(prints[i] ^ prints[i + lag]) <= max_distance]
         yield prints[i].view(np.int64), prints[i + lag].view(np.int64)
-    for start, stop in zip(starts[sizes > SMALL].tolist(), stops[sizes > SMALL].tolist(), strict=True):
+    for start, stop in zip(starts[sizes > small].tolist(), stops[sizes > small].tolist(), strict=True):
         own = int((~probing[start:stop]).sum())
         for distance in (*levels, max_distance):
-            yield from spanning(prints[start : start + own], prints[start + own : stop], distance)
+            yield from spanning(prints[start : start + own], prints[start + own : stop], distance, free)
 
 
-def spanning(listed: np.ndarray, asking: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A forest of the links between listed fingerprints, and of these with those that ask."""
+def spanning(listed: np.ndarray, asking: np.ndarray, max_distance: int, free: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A forest of the links between listed fingerprints, and of these with those that ask (forests of parts, where it is split)."""
+    steps = 0
     while len(listed):
         queue, listed = [(listed[0], False)], listed[1:]
         while queue:
+            steps += 1
+            if steps > STEPS and len(listed) + len(asking) > LARGE:
+                # what was compared is done; the others, queued or not, meet again in the parts
+                back = [np.array([y for y, a in queue if a is asks], np.uint64) for asks in (False, True)]
+                parts = split(np.concatenate([listed, back[0]]), np.concatenate([asking, back[1]]), max_distance, free)
+                if parts is not None:
+                    yield from parts
+                    return
+                steps = -BITS * STEPS
             x, asks = queue.pop()
             near = np.bitwise_count(listed ^ x) <= max_distance
             found = listed[near]
@@ -195,6 +209,25 @@ def spanning(listed: np.ndarray, asking: np.ndarray, max_distance: int) -> Itera
                 yield np.full(len(found), x).view(np.int64), found.view(np.int64)
 
 
+def split(listed: np.ndarray, asking: np.ndarray, max_distance: int, free: int) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """Links by parts: of ``max_distance + 1`` groups of the bits that vary, two linked fingerprints agree in one. None with too few such bits."""
+    every = np.concatenate([listed, asking])
+    vary = int(np.bitwise_or.reduce(every ^ every[0])) & free
+    bits = [b for b in range(BITS) if vary >> b & 1]
+    if len(bits) <= max_distance:
+        return None
+    probing = np.arange(len(every)) >= len(listed)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(max_distance + 1):
+            mask = sum(1 << b for b in bits[k :: max_distance + 1])
+            keys = every & np.uint64(mask)
+            order = np.lexsort((probing, keys))
+            yield from bucket_links(keys[order], every[order].view(np.int64), probing[order], max_distance, free=free & ~mask, small=SMALL_PART)
+
+    return parts()
+
+
 def links(prints: DataFrame, max_distance: int = 4, levels: tuple[int, ...] = ()) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span every component of the graph of all links, and those within each lesser distance of ``levels``."""
     n, together = bit_counts(prints)
@@ -207,7 +240,7 @@ def links(prints: DataFrame, max_distance: int = 4, levels: tuple[int, ...] = ()
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), asks)), pa.array(own[at])], ["key", "probing", "fingerprint"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]
+        held: list[list[np.ndarray]] = []  # the last bucket, which may go on
 
         def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
@@ -216,11 +249,15 @@ def links(prints: DataFrame, max_distance: int = 4, levels: tuple[int, ...] = ()
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
-            yield from found([r[:last] for r in rows])
-            held = [r[last:] for r in rows]
-        yield from found(held)
+            if len(batch):
+                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last or held and held[-1][0][0] != rows[0][0]:
+                    yield from found([np.concatenate(c) for c in zip(*held, [r[:last] for r in rows], strict=True)])
+                    held = []
+                held.append([r[last:] for r in rows])
+        if held:
+            yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
 
     dealt = mapped(prints.select("fingerprint"), spread, "key long, probing boolean, fingerprint long")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "probing", "fingerprint")

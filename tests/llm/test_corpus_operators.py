@@ -468,3 +468,44 @@ def test_passages_of_one_function_are_linked(spark, monkeypatch):
     texts += [[word() for _ in range(80)] for _ in range(5)]
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in passages.repeated_passages(frame).collect()} == {(i, 0) for i in range(40)}
+
+
+def test_large_buckets_are_split_without_losing_links(monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 200)
+    rng = np.random.default_rng(11)
+    for distance in (4, 8):
+        chains = [rng.integers(0, 1 << 63, 400, dtype=np.uint64)]
+        for _ in range(3):
+            flips = np.uint64(1) << rng.integers(0, 64, (3, 400)).astype(np.uint64)
+            chains.append(chains[-1] ^ np.bitwise_or.reduce(flips))
+        prints = rng.permutation(np.unique(np.concatenate(chains)))
+        probing = np.arange(len(prints)) >= len(prints) * 3 // 4
+        got = joined_up(prints, [(a, b) for x, y in simhash.bucket_links(np.zeros(len(prints), np.int64), prints.view(np.int64), probing, distance) for a, b in zip(x.view(np.uint64).tolist(), y.view(np.uint64).tolist(), strict=True)])
+        pairs = [(prints[i], prints[j]) for i in np.flatnonzero(~probing) for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= distance)]
+        assert got == joined_up(prints, pairs) and len(set(got.values())) < 500
+
+
+def joined_up(nodes, pairs):
+    root = {int(x): int(x) for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(int(a)), top(int(b))))
+        root[b] = a
+    return {x: top(x) for x in root}
+
+
+def test_mix_of_one_id(spark):
+    rows = [(None, "a b c", "s", 1)] * 9000 + [(None, "a b", "s", 2)] * 50 + [(None, "x", "t", 3)] * 5 + [(4, "", "s", 4)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_equal int")
+    found = mixing.taken(mixing.schedule(docs, block_words=64)).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most"), F.first("target").alias("target")).collect()
+    assert {(r.doc_id, r.source, r["size"]): r.n for r in found} == {(None, "s", 3): 9000, (None, "s", 2): 50, (None, "t", 1): 5, (4, "s", 0): 2}
+    for source in "st":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and all(r.most <= 3 * r["size"] for r in own)
+    dealt = mixing.told_apart(spark.createDataFrame([("a", 10_000), ("b", 1)], "k string, n long"), "n", at_once=64)
+    assert [tuple(r) for r in dealt.groupBy("k").agg(F.count(F.lit(1)), F.countDistinct("copy"), F.max("copy")).orderBy("k").collect()] == [("a", 10_000, 10_000, 9999), ("b", 1, 1, 0)]
