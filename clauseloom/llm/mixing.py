@@ -9,7 +9,8 @@ its target. What a document gives to the mix are its words in blocks that have a
 
 Only DataFrame functions are used. Running totals over a source and ranks over the schedule are taken
 in two levels (within hash buckets or slot chunks, and over their totals), so no window partition
-holds a whole source or the whole schedule.
+holds a whole source or the whole schedule. Rows that are equal in id and size are counted before they
+are ordered and told apart behind it, so no window holds the rows of one id either, only its sizes.
 """
 
 from __future__ import annotations
@@ -91,6 +92,15 @@ def turn_of(ids: list[Column], seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in ids]))
 
 
+def told_apart(counted: DataFrame, n: str, at_once: int = 4096) -> DataFrame:
+    """Each row ``n`` times, with ``copy`` from 0: in runs of ``at_once``, which are dealt out anew where there are several."""
+    few = counted.where(F.col(n) <= at_once).withColumn("first_copy", F.lit(0).cast("long"))
+    many = counted.where(F.col(n) > at_once).withColumn("first_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(at_once).cast("long"))))
+    runs = few.unionByName(many.repartition(*counted.columns, "first_copy"))
+    last = F.least(F.col(n), F.col("first_copy") + at_once) - 1
+    return runs.withColumn("copy", F.explode(F.sequence("first_copy", last))).drop("first_copy", n)
+
+
 def schedule(
     docs: DataFrame,
     keep: tuple[str, ...] = ("doc_id",),
@@ -117,8 +127,9 @@ def schedule(
     ids = [F.col(c) for c in keep]
     sized = docs.select(*ids, "source", key, (words() if size is None else size).alias("size"), turn_of(ids, seed).alias("turn"))
     # buckets go by the first digits, so that their order is that of the turns
-    sized = cut(sized.withColumn("bucket", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int")))
-    sums = sized.groupBy("src_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
+    sized = sized.withColumn("bucket", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"))
+    sized = cut(sized.groupBy("src_key", "bucket", "turn", *keep, "source", "size").agg(F.count(F.lit(1)).alias("n_equal")))
+    sums = sized.groupBy("src_key", "bucket").agg(F.sum(F.col("size") * F.col("n_equal")).alias("bucket_size"), F.first("source").alias("source"))
     mixed = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     mixed = mixed.withColumn("line", F.round("target").cast("long"))
     mixed = cut(mixed.withColumn("n_blocks", F.ceil(F.col("line") / block_words).cast("long")))
@@ -128,7 +139,9 @@ def schedule(
     over = Window.partitionBy("src_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src_key", "bucket", F.coalesce(F.sum("bucket_size").over(over), F.lit(0)).alias("bucket_at"))
     within = Window.partitionBy("src_key", "bucket").orderBy("turn", *ids, "size")
-    placed = sized.withColumns({"row_no": F.row_number().over(within), "at": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
+    earlier = lambda c: F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sized.withColumns({"rows_at": earlier("n_equal"), "at": earlier(F.col("size") * F.col("n_equal"))})
+    placed = told_apart(placed, "n_equal").withColumns({"row_no": F.col("rows_at") + F.col("copy") + 1, "at": F.col("at") + F.col("copy") * F.col("size")})
     placed = placed.join(sums, ["src_key", "bucket"]).withColumn("at", F.col("at") + F.col("bucket_at"))
     line = mixed.withColumn("src_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     placed = placed.join(line, "src_key")
