@@ -66,8 +66,7 @@ def crc32(byte_list: str) -> str:
 #: Prefixes by their turns' digests end to end; each node adds to the prefixes of its least member.
 TRIE = rf"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-said AS (SELECT *, left(sha256(length(role) || ':' || role || text), 32) AS tid, len(regexp_extract_all(text, '[^ 	-
-]+')) AS words FROM turns),
+said AS (SELECT *, left(sha256(length(role) || ':' || role || text), 32) AS tid, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, tid) AS k FROM said),
 convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x))")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
 path AS (SELECT c.conv_id, 0 AS own, k, tid, words FROM convs c JOIN numbered n ON n.conv_id = c.base AND k <= h
