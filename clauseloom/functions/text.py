@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: All Unicode white space, for use inside a character class.
-WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: All Unicode white space, for use inside a character class (one look-up, where ranges would be tried in turn), and as the characters themselves.
+WS = r"\p{IsWhite_Space}\x1c-\x1f"
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _column(text: Column | str) -> Column:
@@ -22,8 +23,8 @@ def replace(text: Column | str, pattern: str, by: str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    # a run is looked at from its start only, so that long runs inside a text don't take quadratic time
-    return replace(text, rf"^[{WS}]+|(?<![{WS}])[{WS}]+\z", "")
+    # no pattern: only the ends are looked at
+    return F.trim(_column(text), F.lit(BLANKS))
 
 
 def is_blank(text: Column | str) -> Column:
@@ -34,7 +35,7 @@ def is_blank(text: Column | str) -> Column:
 def clean_text(text: Column | str) -> Column:
     """Normalised line ends, at most one empty line in a row, single spaces, no white space at the ends. Null gives ''."""
     out = F.coalesce(_column(text), F.lit(""))
-    out = replace(out, r"\r\n|\r", "\n")
+    out = F.replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     out = replace(out, r"\n{3,}", "\n\n")
-    out = replace(out, r"[ \t]+", " ")
+    out = replace(F.replace(out, F.lit("\t"), F.lit(" ")), r" {2,}", " ")
     return strip(out)
