@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,12 @@ LEAST_LETTERS = 3
 ALWAYS_SPLIT = r"[;?!@#$%&*\"“”«»()\[\]{}<>`]|--"
 COMMA_SPLIT = r"[,:]+([^\p{Nd},:]|\z)"
 CONTRACTION = r"(?i)(\p{L})(n['’]t|['’](?:s|ll|re|ve|m|d))\b"
-JOINED = r"(?i)\b(can)(not)\b|\b(gon)(na)\b|\b(gim)(me)\b|\b(lem)(me)\b|\b(got)(ta)\b|\b(wan)(na)\b"
+JOINED = r"(?i)(?=[cglw])\b(?:(can)(not)|(gon)(na)|(gim)(me)|(lem)(me)|(got)(ta)|(wan)(na))\b"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is asked for."""
+    return F.transform(F.array(value), use)[0]
 
 
 def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIONS, ends: Column | None = None) -> Column:
@@ -39,13 +46,18 @@ def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIO
     """
     out = replace(text, ALWAYS_SPLIT, " ")
     out = replace(out, COMMA_SPLIT, " $1")
-    out = replace(out, CONTRACTION, "$1 $2")
+    out = F.when(out.rlike("['’]"), replace(out, CONTRACTION, "$1 $2")).otherwise(out)
     out = replace(out, JOINED, "$1$3$5$7$9$11 $2$4$6$8$10$12")
     tokens = F.filter(F.split(out, rf"[{WS}]+", -1), lambda t: t != "")
     listed = F.array(*map(F.lit, (f"{a}." for a in abbreviations)))
-    bare = lambda t: replace(replace(t, r"[.]+['’]*\z|['’]+\z", ""), r"^['‘’]+", "")
-    inside = lambda i: i < F.size(tokens) - 1 if ends is None else (i < F.size(tokens) - 1) | ~ends
-    return F.transform(tokens, lambda t, i: F.when(F.array_contains(listed, F.lower(t)) & inside(i), t).otherwise(bare(t)))
+    bare = lambda t: F.ltrim(F.rtrim(F.rtrim(t, F.lit("'’")), F.lit(".")), F.lit("'‘’"))
+
+    def cut(tokens: Column) -> Column:
+        inside = lambda i: i < F.size(tokens) - 1 if ends is None else (i < F.size(tokens) - 1) | ~ends
+        # a token that is listed ends with a period
+        return F.transform(tokens, lambda t, i: F.when(t.endswith(".") & F.array_contains(listed, F.lower(t)) & inside(i), t).otherwise(bare(t)))
+
+    return bound(tokens, cut)
 
 
 def key_words(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, ends: Column | None = None) -> Column:
@@ -53,3 +65,18 @@ def key_words(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, ends
     letters = F.filter(word_tokens(text, ends=ends), lambda t: t.rlike(rf"^\p{{L}}{{{LEAST_LETTERS},}}\z"))
     lower = F.transform(letters, lambda t: F.lower(t))
     return F.filter(lower, lambda t: ~t.isin(*stop_words)) if stop_words else lower
+
+
+def top_words(words: Column, top_n: int) -> Column:
+    """Of an array of words the ``top_n`` most frequent ones, ties by first occurrence: equal words are runs of the sorted array."""
+
+    def of_sorted(s: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i]["w"] != s[F.greatest(i - 1, F.lit(0))]["w"]))
+        return bound(F.when(F.size(s) > 0, opens).otherwise(F.array().cast("array<int>")), lambda at: runs(s, at))
+
+    def runs(s: Column, at: Column) -> Column:
+        stop = lambda k: F.when(k + 1 < F.size(at), at[k + 1]).otherwise(F.size(s))
+        found = F.transform(at, lambda i, k: F.struct((i - stop(k)).alias("less"), s[i]["i"].alias("i"), s[i]["w"].alias("w")))
+        return F.transform(F.slice(F.sort_array(found), 1, top_n), lambda x: x["w"])
+
+    return bound(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), of_sorted)

@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clauseloom.functions.sentences import context
-from clauseloom.functions.text import clean_text, is_blank, strip
+from clauseloom.functions.text import BLANKS, WS, clean_text, is_blank, strip
 from clauseloom.functions.words import STOP_WORDS, key_words
+from clauseloom.operators.keywords import with_keywords
 from clauseloom.operators.lines import VETOES, classify, explode_lines
 from clauseloom.plans.parse import classified_lines, parse_documents, segment_documents
 from clauseloom.sources import documents as io
@@ -235,3 +236,19 @@ def test_entry(spark, path):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_white_space_is_the_same_as_characters_and_as_a_class(spark):
+    rows = spark.range(0xD800).union(spark.range(0xE000, 0x10000)).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"), "id")
+    found = rows.select("id", F.col("c").rlike(f"[{WS}]").alias("in_class"), (strip("c") == "").alias("stripped")).where("in_class or stripped").collect()
+    assert "".join(chr(r.id) for r in found) == BLANKS and all(r.in_class and r.stripped for r in found)
+
+
+def test_words_are_counted_inside_a_row(spark):
+    """No word of a segment becomes a row of its own, and keywords are those of a plain count."""
+    texts = ["a", "", "bbb ccc bbb ddd ccc eee", " ".join(f"w{chr(97 + k % 23) * (k % 5)}x" for k in range(900)), "Don't can't x'd've 'quoted' abc'.'' fig. etc."]
+    segments = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "doc_id long, seg_no int, text string")
+    got = with_keywords(segments, 3)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.select("keywords", key_words("text").alias("w")).collect():
+        assert r.keywords == sorted(dict.fromkeys(r.w), key=lambda w: (-r.w.count(w), r.w.index(w)))[:3]
