@@ -20,7 +20,7 @@ from clauseloom.functions.text import WS, replace, strip
 # Fixed values of the method: the rate of final periods that abbreviations have, and the least score of one.
 RATE, LEAST_SCORE = 0.99, 0.3
 #: What may stand around a token: quotes and brackets, and marks behind it.
-AROUND = r"^[\"'“”‘’(\[{]+|[\"'“”‘’)\]},;:!?]+\z"
+BEFORE, BEHIND = "\"'“”‘’([{", "\"'“”‘’)]},;:!?"
 TYPE = r"^\p{L}+(?:\.\p{L}+)*\z"
 #: Tokens behind which a word may be capital for another reason than its own spelling.
 ENDS = r"[.?!:;][\"'”’)\]}]*\z"
@@ -31,7 +31,7 @@ def tokens(text: Column | str) -> Column:
 
 
 def bare(token: Column) -> Column:
-    return replace(token, AROUND, "")
+    return F.rtrim(F.ltrim(token, F.lit(BEFORE)), F.lit(BEHIND))
 
 
 def has_period(core: Column) -> Column:
@@ -53,10 +53,12 @@ def type_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     listed = docs.select(tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
     pairs = F.transform("ts", lambda t, i: F.struct(t.alias("token"), F.when(i > 0, F.try_element_at(F.col("ts"), i)).alias("before")))
-    rows = listed.select(F.explode(pairs).alias("at")).select(bare(F.col("at.token")).alias("core"), F.col("at.before").alias("before"))
-    rows = rows.select(type_of(F.col("core")).alias("type"), has_period(F.col("core")).alias("ends"), F.substring("core", 1, 1).alias("letter"), F.coalesce(~F.col("before").rlike(ENDS), F.lit(False)).alias("inside"))
+    rows = listed.select(F.explode(pairs).alias("at")).select(bare(F.col("at.token")).alias("core"), F.coalesce(~F.col("at.before").rlike(ENDS), F.lit(False)).alias("inside"))
+    # the forms of a token are told apart once, however often it is there
+    rows = rows.groupBy("core", "inside").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select(type_of(F.col("core")).alias("type"), has_period(F.col("core")).alias("ends"), F.substring("core", 1, 1).alias("letter"), "inside", "n")
     capital = F.col("letter").rlike(r"\p{IsUppercase}") & F.col("inside")
-    count = lambda c, name: F.count_if(c).alias(name)
+    count = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name)
     # tokens that are no type count as well: they are in the corpus' rate of final periods
     return rows.groupBy("type").agg(count(F.col("ends"), "with_period"), count(~F.col("ends"), "without_period"), count(F.col("letter").rlike(r"\p{IsLowercase}"), "small"), count(capital, "capital_inside"))
 
