@@ -4,7 +4,8 @@ Near copies have a Jaccard similarity of ``SIMILARITY`` or more on five-word shi
 in a fifth is 9 bits off on average and up to 14, too far to search for; one of the distinct words is 3 bits off, and within
 ``DISTANCE`` for nearly all. So fingerprints of distinct words are searched by the generalised pigeonhole principle
 (:mod:`.simhash`), and each link is verified on the shingles of its texts. Small buckets give all their links; a large one
-gives those of spanning forests at several distances, nearest first, so that a text is compared with its nearest ones.
+gives those of spanning forests at several distances, nearest first, so that a text is compared with its nearest ones. Then
+all links between texts that are still in different groups are verified, so that none is lost; copies aren't expanded into pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from .common import cut, mapped, written
 from .components import components
 from .passages import Hasher
-from .simhash import BITS, links
+from .simhash import BITS, links, links_between
 
 SIMILARITY, DISTANCE, LEVELS = 0.8, 8, (2, 4, 6)
 AT_ONCE = 1 << 20
@@ -101,6 +102,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_distance: i
     found = named.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
     shingles = written(shingled(found.dropDuplicates(["said"])))
     near = cut(verified(pairs, shingles, similarity))
+    # forests leave out links, and those of them that fail may part a group: all links between what they left apart are looked at
+    roots = cut(components(near))
+    labelled = cut(texts.join(asked.select("said"), "said").join(roots, F.col("said") == F.col("node"), "left").select("said", "fingerprint", F.xxhash64(F.coalesce("root", "said")).alias("label")))
+    apart = links_between(labelled.select("fingerprint", "label").distinct(), max_distance).distinct()
+    side = lambda c: labelled.select(F.col("said").alias(f"{c}_said"), F.col("fingerprint").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = apart.join(side("a"), ["a", "label_a"]).join(side("b"), ["b", "label_b"]).select(F.least("a_said", "b_said").alias("a"), F.greatest("a_said", "b_said").alias("b")).distinct()
+    more = verified(apart.join(pairs, ["a", "b"], "left_anti"), shingles, similarity)
+    near = cut(near.unionByName(more))
     roots = components(near)
     group = F.coalesce("root", "said").alias("group")
     return rows.join(roots, rows["said"] == roots["node"], "left").select("doc_id", "text_key", "said", group), near

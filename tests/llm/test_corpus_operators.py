@@ -509,3 +509,25 @@ def test_mix_of_one_id(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and all(r.most <= 3 * r["size"] for r in own)
     dealt = mixing.told_apart(spark.createDataFrame([("a", 10_000), ("b", 1)], "k string, n long"), "n", at_once=64)
     assert [tuple(r) for r in dealt.groupBy("k").agg(F.count(F.lit(1)), F.countDistinct("copy"), F.max("copy")).orderBy("k").collect()] == [("a", 10_000, 10_000, 9999), ("b", 1, 1, 0)]
+
+
+def test_near_copies_in_one_large_bucket_are_all_found(spark):
+    """Texts of the same words in other orders have one fingerprint; each has one near copy, which no forest need link it to."""
+    rng, texts = random.Random(3), []
+    for _ in range(20):
+        words = [f"word{k}" for k in range(60)]
+        rng.shuffle(words)
+        texts += [" ".join(words), " ".join([*words, words[0]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.without_copies(docs).collect()) == list(range(0, 40, 2))
+    # and over several fingerprints within the distance: brute force over all links
+    texts = []
+    for k in range(30):
+        words = [f"term{j}" for j in range(80)]
+        rng.shuffle(words)
+        texts += [" ".join([*words, f"own{k}"]), " ".join([*words, f"other{k}"])]
+    rows, _ = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    groups = {r.doc_id: r.group for r in rows.collect()}
+    prints = [near_copies.word_print(t.encode().split()) for t in texts]
+    assert all((groups[i] == groups[i + 1]) == (((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).bit_count() <= 8) for i in range(0, 60, 2))
+    assert len(set(groups.values())) >= 30
