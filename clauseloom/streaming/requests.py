@@ -33,9 +33,13 @@ def publish(batch: DataFrame, number: int, out: str) -> None:
     write_files(entry.coalesce(1), f"{out}/manifest", "name", "content")
 
 
+#: A batch reads files of so many bytes, or one larger file: what has piled up doesn't decide what a task holds.
+BATCH_BYTES = 256 << 20
+
+
 def request_stream(spark: SparkSession, path: str, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
     """Reads JSON requests (``{"text": ..., "file_name": ...}``, one a line) as they arrive at ``path``; malformed ones become rejects."""
-    rows = spark.readStream.schema(REQUEST).option("mode", "PERMISSIVE").json(path).select("*", F.col("_metadata.file_path").alias("path"))
+    rows = spark.readStream.schema(REQUEST).option("mode", "PERMISSIVE").option("maxBytesPerTrigger", BATCH_BYTES).json(path).select("*", F.col("_metadata.file_path").alias("path"))
     run = lambda batch, number: publish(batch, number, out)
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

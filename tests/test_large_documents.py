@@ -233,3 +233,13 @@ def test_parts_of_envelopes_make_the_whole(spark, most, bits):
         assert whole[:2] == (r.file_name, r.total_segments)
         whole[2].extend(r.segments)
     assert parts == {r.doc_id: (r.file_name, r.total_segments, r.segments) for r in io.envelopes(docs, segments).collect()}
+
+
+def test_requests_that_have_piled_up_come_in_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(requests, "BATCH_BYTES", 100)
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / f"in/{k}.json").write_text('{"text": "1 A\\nb"}\n' * 4)
+    requests.request_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    rows = requests.published(spark, str(tmp_path / "out"), "segments").collect()
+    assert len(rows) == 20 and len({r.batch for r in rows}) > 1
