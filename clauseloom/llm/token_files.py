@@ -151,8 +151,8 @@ class Remembered:
 _LETTER, _MARK = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"[!-&(-/:-@\[-`{-~]"
 #: A text's pieces: a word up to an ASCII mark or white space, a digit, marks up to a word, digit or white space; else all up to white space.
 PIECE = re.compile(_LETTER + rb"++(?=[\s!-@\[-`{-~]|\Z)|[0-9]|" + _MARK + rb"++(?=[\s0-9]|" + _LETTER + rb"|\Z)|\S+")
-#: Texts of these bytes alone have no apostrophe and no other letters: all that is cut where letters, digits and marks meet.
-PLAIN = bytes(b for b in range(128) if b != 0x27) + b"\xc3" + bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))
+#: Texts of these bytes alone have no apostrophe, no other letters and no control characters (which go with marks): all that is cut where letters, digits and marks meet.
+PLAIN = bytes([*range(0x09, 0x0E), *(b for b in range(0x20, 0x7F) if b != 0x27)]) + b"\xc3" + bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))
 PLAIN_PIECE = re.compile(rb"[A-Za-z\x80-\xff]++|[!-/:-@\[-`{-~]++|[^\s]")
 SIMPLE = re.compile(_LETTER + rb"+|[0-9]|" + _MARK + rb"+")
 

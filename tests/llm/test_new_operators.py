@@ -222,3 +222,9 @@ def test_a_few_remembered_pieces_are_enough(monkeypatch):
     own, tokenizer = token_files.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
     for texts in (["one two three four", "two five"], ["one six"], [], ["two two seven one nine ten"], ["one"]):
         assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_control_characters_go_with_the_marks_beside_them():
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    texts = [f"{left}{chr(c)}{right}" for c in (*range(0x20), 0x7F) for left in ("", "<", "a", "9", "a.") for right in ("", "<", "a", "9", " b")]
+    assert [x.tolist() for x in token_files.encoder(WORD_BPE).encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
