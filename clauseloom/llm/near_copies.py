@@ -3,9 +3,11 @@
 Near copies have a Jaccard similarity of ``SIMILARITY`` or more on five-word shingles. A fingerprint of shingles that differ
 in a fifth is 9 bits off on average and up to 14, too far to search for; one of the distinct words is 3 bits off, and within
 ``DISTANCE`` for nearly all. So fingerprints of distinct words are searched by the generalised pigeonhole principle
-(:mod:`.simhash`), and each link is verified on the shingles of its texts. Small buckets give all their links; a large one
-gives those of spanning forests at several distances, nearest first, so that a text is compared with its nearest ones. Then
-all links between texts that are still in different groups are verified, so that none is lost; copies aren't expanded into pairs.
+(:mod:`.simhash`), and each link is verified on the shingles of its texts. Which texts have a link at all comes first; these
+carry counts of their shingles in ``CLASSES`` classes by hash. Texts differ in at least as many shingles as their counts differ
+by, so most pairs that aren't similar are told by the counts alone, and no similar one is left out. What remains are spanning
+forests of each large bucket; then all links between texts that are still in different groups are verified, so that none
+is lost; neither copies nor groups are expanded into pairs.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ from pyspark.sql import types as T
 from .common import cut, mapped, written
 from .components import components
 from .passages import Hasher
-from .simhash import BITS, links, links_between
+from .simhash import BITS, bit_counts, links, plan, probes
 
-SIMILARITY, DISTANCE, LEVELS = 0.8, 8, (2, 4, 6)
+SIMILARITY, DISTANCE = 0.8, 8
 AT_ONCE = 1 << 20
+#: Classes that a text's shingles are counted in (a byte each, at most 255), and pairs that counts are compared of at once.
+CLASSES, COMPARED = 256, 1 << 12
+#: A bucket of no more rows gives all its links.
+SMALL = 24
 
 
 def word_print(words: list[bytes], seed: int = 42) -> int:
@@ -54,19 +60,123 @@ def marked(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, schema)
 
 
+def class_counts(shingles: np.ndarray) -> bytes:
+    """How many of a text's distinct shingles are in each class."""
+    return np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
 def shingled(texts: DataFrame) -> DataFrame:
-    """(said, shingles): the distinct five-word shingles' hashes of rows (said, text); shorter texts have none."""
+    """(said, shingles, counts): the distinct five-word shingles' hashes of rows (said, text), and :func:`class_counts`; shorter texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for start in range(0, len(batch), 200):
                 part = batch.slice(start, 200)
-                found = [np.unique(h).view(np.int64) for h in hasher(part.column(1).to_pylist())]
+                found = [np.unique(h) for h in hasher(part.column(1).to_pylist())]
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["said", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(map(class_counts, found), pa.binary())], ["said", "shingles", "counts"])
+
+    return mapped(texts.select("said", "text"), run, "said string, shingles array<long>, counts binary")
+
+
+class Bucket:
+    """Rows (key, probing, said, fingerprint, label, n, counts) of whole buckets; within one, those that don't probe come first."""
+
+    def __init__(self, rows: pa.Table, max_distance: int, similarity: float) -> None:
+        self.key, self.probing, prints, self.label, self.n = (rows.column(c).to_numpy() for c in ("key", "probing", "fingerprint", "label", "n"))
+        self.prints = prints.view(np.uint64)
+        self.counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CLASSES)
+        self.max_distance, self.similarity = max_distance, similarity
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar: A and B, of whose union 1 - s is in one alone at most, differ in (1 - s) / (1 + s) of their sizes' sum."""
+        most = (1 - self.similarity) * (self.n[i] + self.n[j]) + 1e-3
+        out = (1 + self.similarity) * np.abs(self.n[i] - self.n[j]) <= most
+        for k in range(0, len(i), COMPARED):
+            at = slice(k, k + COMPARED)
+            apart = np.abs(self.counts[i[at]].astype(np.int16) - self.counts[j[at]]).sum(1)
+            out[at] &= (1 + self.similarity) * apart <= most[at]
+        return out
+
+    def links(self, forest: bool, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one bucket with different labels that may be similar; of a larger bucket, a forest that joins the same labels if asked for."""
+        cuts = np.flatnonzero(np.diff(self.key)) + 1
+        starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(self.key)]])
+        several = np.minimum.reduceat(self.label, starts) != np.maximum.reduceat(self.label, starts)
+        sizes = stops - starts
+        few = np.repeat(several & (sizes <= small), sizes)
+        for lag in range(1, min(small, int(sizes.max()))):
+            i = np.flatnonzero(few[:-lag] & (self.key[:-lag] == self.key[lag:]) & ~self.probing[:-lag] & (self.label[:-lag] != self.label[lag:]))
+            i = i[np.bitwise_count(self.prints[i] ^ self.prints[i + lag]) <= self.max_distance]
+            i = i[self.close(i, i + lag)]
+            yield i, i + lag
+        for start, stop in zip(starts[several & (sizes > small)].tolist(), stops[several & (sizes > small)].tolist(), strict=True):
+            label = self.label[start:stop].copy()
+            for i in range(start, start + int((~self.probing[start:stop]).sum())):
+                own = label[i - start]
+                j = np.flatnonzero((np.bitwise_count(self.prints[i + 1 : stop] ^ self.prints[i]) <= self.max_distance) & (label[i + 1 - start :] != own)) + i + 1
+                j = j[self.close(np.full(len(j), i), j)] if len(j) else j
+                if forest and len(j):
+                    joined, first = np.unique(label[j - start], return_index=True)
+                    j = j[first]
+                    label[np.isin(label, joined)] = own
+                if len(j):
+                    yield np.full(len(j), i), j
+
+
+def text_links(texts: DataFrame, max_distance: int, similarity: float, forest: bool) -> DataFrame:
+    """(a, b), a < b, distinct: texts (said, fingerprint, label, n, counts) within ``max_distance`` that may be similar and whose labels differ.
+
+    All of them; or, as a forest, some that join the same labels, where a bucket has more than ``SMALL`` rows.
+    """
+    n, together = bit_counts(texts)
+    parts, small = plan(n, together, max_distance), SMALL
+    columns = ["said", "fingerprint", "label", "n", "counts"]
 
-    return mapped(texts.select("said", "text"), run, "said string, shingles array<long>")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, at, asks in probes(batch.column(1).to_numpy(zero_copy_only=False), parts):
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), asks)), *rows.columns], ["key", "probing", *columns])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last bucket, which may go on
+
+        def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            if len(rows):
+                said = rows.column("said").combine_chunks()
+                out, n_out = [], 0
+                for pair in Bucket(rows, max_distance, similarity).links(forest, small):
+                    out.append(pair)
+                    n_out += len(pair[0])
+                    if n_out > AT_ONCE >> 4:
+                        yield taken(said, out)
+                        out, n_out = [], 0
+                if n_out:
+                    yield taken(said, out)
+
+        def taken(said: pa.Array, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([said.take(pa.array(np.concatenate(side))) for side in zip(*pairs, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            if len(batch):
+                keys = batch.column(0).to_numpy()
+                last = int(np.searchsorted(keys, keys[-1]))
+                if held and (last or held[-1].column(0)[-1].as_py() != keys[0]):
+                    yield from found([*held, batch.slice(0, last)])
+                    held = []
+                elif last:
+                    yield from found([batch.slice(0, last)])
+                held.append(batch.slice(last))
+        if held:
+            yield from found(held)
+
+    dealt = mapped(texts.select(*columns), spread, "key long, probing boolean, said string, fingerprint long, label long, n int, counts binary")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "probing", "fingerprint")
+    return mapped(dealt, meet, "a string, b string").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -80,7 +190,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return both.where((F.least(*n) > 0) & close).where(shared >= similarity * (n[0] + n[1] - shared)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_distance: int = DISTANCE, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_key, said, group) for each row of ``docs``, verified links (a, b) between ``said``).
 
     Rows whose words are the same, in order, are of one group, and so are those of texts that verified links join. Null texts
@@ -88,26 +198,22 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, max_distance: i
     """
     rows = written(marked(docs))
     texts = cut(rows.groupBy("said", "fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")))
-    prints = cut(texts.groupBy("fingerprint").agg(F.min("said").alias("said")))
-    # texts of one fingerprint go with the first of them, and that one with those of linked fingerprints
-    same = texts.select("fingerprint", F.col("said").alias("b")).join(prints, "fingerprint").where("said < b").select(F.col("said").alias("a"), "b")
-    name = lambda c: prints.select(F.col("fingerprint").alias(c), F.col("said").alias(f"{c}_said"))
-    far = links(prints, max_distance, levels).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    far = far.join(name("a"), "a").join(name("b"), "b").select(F.least("a_said", "b_said").alias("a"), F.greatest("a_said", "b_said").alias("b"))
-    pairs = written(same.unionByName(far).distinct())
-
-    asked = pairs.select(F.col("a").alias("said")).union(pairs.select("b")).distinct()
-    asked = asked.join(texts, "said").select("said", F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_text"))
+    prints = cut(texts.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_texts")))
+    # texts with a neighbour: one of their fingerprint, or of one within the distance
+    far = links(prints, max_distance)
+    linked = far.select(F.col("a").alias("fingerprint")).union(far.select("b")).union(prints.where("n_texts > 1").select("fingerprint"))
+    asked = texts.join(linked.distinct(), "fingerprint").select("said", "fingerprint", F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_text"))
+    asked = cut(asked)
     named = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("text"))
     found = named.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
     shingles = written(shingled(found.dropDuplicates(["said"])))
+    sized = written(shingles.select("said", F.size("shingles").alias("n"), "counts").where("n > 0").join(asked.select("said", "fingerprint"), "said"))
+    pairs = written(text_links(sized.withColumn("label", F.xxhash64("said")), max_distance, similarity, forest=True))
     near = cut(verified(pairs, shingles, similarity))
     # forests leave out links, and those of them that fail may part a group: all links between what they left apart are looked at
     roots = cut(components(near))
-    labelled = cut(texts.join(asked.select("said"), "said").join(roots, F.col("said") == F.col("node"), "left").select("said", "fingerprint", F.xxhash64(F.coalesce("root", "said")).alias("label")))
-    apart = links_between(labelled.select("fingerprint", "label").distinct(), max_distance).distinct()
-    side = lambda c: labelled.select(F.col("said").alias(f"{c}_said"), F.col("fingerprint").alias(c), F.col("label").alias(f"label_{c}"))
-    apart = apart.join(side("a"), ["a", "label_a"]).join(side("b"), ["b", "label_b"]).select(F.least("a_said", "b_said").alias("a"), F.greatest("a_said", "b_said").alias("b")).distinct()
+    labelled = sized.join(roots, F.col("said") == F.col("node"), "left").withColumn("label", F.xxhash64(F.coalesce("root", "said")))
+    apart = text_links(labelled, max_distance, similarity, forest=False)
     more = verified(apart.join(pairs, ["a", "b"], "left_anti"), shingles, similarity)
     near = cut(near.unionByName(more))
     roots = components(near)

@@ -264,59 +264,6 @@ def links(prints: DataFrame, max_distance: int = 4, levels: tuple[int, ...] = ()
     return mapped(dealt, meet, "a long, b long")
 
 
-def links_between(prints: DataFrame, max_distance: int = 4) -> DataFrame:
-    """(a, label_a, b, label_b): all links of distinct rows (fingerprint, label), both long, whose labels differ; a link may be there several times.
-
-    Nothing is left out of large buckets: what has one label gives no rows, however many it are.
-    """
-    n, together = bit_counts(prints)
-    parts = plan(n, together, max_distance)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, label = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for keys, at, asks in probes(own, parts):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), asks)), pa.array(own[at]), pa.array(label[at])], ["key", "probing", "fingerprint", "label"])
-
-    names = ["a", "label_a", "b", "label_b"]
-
-    def found(key: np.ndarray, probing: np.ndarray, prints: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        starts = np.concatenate([[0], cuts])
-        several = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        bits, out, held = prints.view(np.uint64), [], 0
-        for start, stop in zip(starts[several].tolist(), np.concatenate([cuts, [len(key)]])[several].tolist(), strict=True):
-            for i in range(start, start + int((~probing[start:stop]).sum())):
-                near = np.flatnonzero((np.bitwise_count(bits[i + 1 : stop] ^ bits[i]) <= max_distance) & (label[i + 1 : stop] != label[i])) + i + 1
-                if len(near):
-                    out.append((np.full(len(near), prints[i]), np.full(len(near), label[i]), prints[near], label[near]))
-                    held += len(near)
-                if held > LARGE:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-                    out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the last bucket, which may go on
-        for batch in batches:
-            if len(batch):
-                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                last = int(np.searchsorted(rows[0], rows[0][-1]))
-                if held and (last or held[-1][0][0] != rows[0][0]):
-                    rows = [np.concatenate(c) for c in zip(*held, rows, strict=True)]
-                    held, last = [], int(np.searchsorted(rows[0], rows[0][-1]))
-                if last:
-                    yield from found(*[r[:last] for r in rows])
-                held.append([r[last:] for r in rows])
-        if held:
-            yield from found(*[np.concatenate(c) for c in zip(*held, strict=True)])
-
-    dealt = mapped(prints.select("fingerprint", "label"), spread, "key long, probing boolean, fingerprint long, label long")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "probing", "fingerprint")
-    return mapped(dealt, meet, ", ".join(f"{c} long" for c in names))
-
-
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), max_distance: int = 4) -> DataFrame:
     """doc_id, ``keep``, fingerprint (long) and component_id for each row.
 

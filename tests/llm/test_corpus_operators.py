@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -531,3 +532,35 @@ def test_near_copies_in_one_large_bucket_are_all_found(spark):
     prints = [near_copies.word_print(t.encode().split()) for t in texts]
     assert all((groups[i] == groups[i + 1]) == (((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).bit_count() <= 8) for i in range(0, 60, 2))
     assert len(set(groups.values())) >= 30
+
+
+def test_near_copies_of_many_texts_of_the_same_words(spark, monkeypatch):
+    """Texts of one fingerprint aren't all compared: what is joined and verified grows with the texts, not with their pairs."""
+    rng, texts = random.Random(5), []
+    for _ in range(100):
+        words = [f"word{k}" for k in range(60)]
+        rng.shuffle(words)
+        texts += [" ".join(words), " ".join([*words, words[0]])]
+    verified, seen = near_copies.verified, []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    rows, _ = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    groups = {r.doc_id: r.group for r in rows.collect()}
+    assert len(set(groups.values())) == 100 and all(groups[i] == groups[i + 1] for i in range(0, 200, 2))
+    assert sum(seen) <= 4 * len(texts)
+
+
+def test_counts_leave_out_no_similar_text():
+    """Brute force: what :class:`near_copies.Bucket` tells to be dissimilar has a Jaccard similarity below 0.8."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(400)[: 400 - k]], rng.integers(0, 1 << 63, k * m, dtype=np.uint64)])) for k in range(0, 120, 4) for m in (0, 1)]
+    rows = pa.table({"key": [0] * len(sets), "probing": [False] * len(sets), "said": list(map(str, range(len(sets)))), "fingerprint": pa.array([0] * len(sets), pa.int64()), "label": range(len(sets)), "n": list(map(len, sets)), "counts": list(map(near_copies.class_counts, sets))})
+    alike = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (s := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - s)}
+    for small in (3, 1000):
+        found = [(int(a), int(b)) for i, j in near_copies.Bucket(rows, 8, 0.8).links(False, small) for a, b in zip(i, j, strict=True)]
+        assert alike and alike <= set(found) and len(found) == len(set(found)) < len(sets) * (len(sets) - 1) / 2
