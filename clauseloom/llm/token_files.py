@@ -153,8 +153,23 @@ _LETTER, _MARK = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"[!-&(-/:
 PIECE = re.compile(_LETTER + rb"++(?=[\s!-@\[-`{-~]|\Z)|[0-9]|" + _MARK + rb"++(?=[\s0-9]|" + _LETTER + rb"|\Z)|\S+")
 #: Texts of these bytes alone have no apostrophe, no other letters and no control characters (which go with marks): all that is cut where letters, digits and marks meet.
 PLAIN = bytes([*range(0x09, 0x0E), *(b for b in range(0x20, 0x7F) if b != 0x27)]) + b"\xc3" + bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))
-PLAIN_PIECE = re.compile(rb"[A-Za-z\x80-\xff]++|[!-/:-@\[-`{-~]++|[^\s]")
+#: What a byte of such a text is: a letter, a mark, white space or the end of a text, a digit.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F], KIND[[0, *range(0x09, 0x0E), 0x20]], KIND[ord("0") : ord("9") + 1] = 1, 2, 3
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 0
 SIMPLE = re.compile(_LETTER + rb"+|[0-9]|" + _MARK + rb"+")
+#: A simple piece that is the same when it is normalised, and whose bytes stand for themselves in the vocabulary.
+NORMAL = re.compile(rb"[a-z]+|[0-9]|" + _MARK + rb"+")
+
+
+def plain_pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The pieces of texts of ``PLAIN`` bytes: a space is put wherever they meet, so that all are what white space leaves."""
+    buffer = np.frombuffer(b"\0".join(texts), np.uint8)
+    kind = KIND[buffer]
+    meet = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    meet &= (kind[1:] != 2) & (kind[:-1] != 2)
+    spaced = np.insert(buffer, np.flatnonzero(meet) + 1, 32)
+    return map(bytes.split, spaced.tobytes().split(b"\0"))
 
 
 class Encoder:
@@ -163,14 +178,15 @@ class Encoder:
     Its tokens hold a run of letters, a digit or a run of marks, or an apostrophe with letters. So a text's ids are those of
     the pieces that it is cut into at white space and between letters and marks. The library encodes a piece once, and
     what it gave is remembered; pieces of a single token each are encoded many at a time, as one text, in which
-    each has one id that ends it.
+    each has one id that ends it. In most of these nothing is left to normalise, so they are cut at the spaces alone.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.at_spaces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.at_spaces.normalizer, self.at_spaces.pre_tokenizer = None, pre_tokenizers.Split(" ", "removed")
         vocabulary = self.tokenizer.get_vocab()
         added = "|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile((added or "(?!)").encode())  # texts with these aren't cut
@@ -180,39 +196,49 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         self.known.grow_old()
-        cut, found, new = [], [], set()
+        plain, cut, new = [], [], set()
         for text in texts:
             lower = text.lower()
             # small letters and combining marks can meet in one character where capital ones don't
             apart = b"\xcc" in text or b"\xcd" in text
-            pieces = None if self.added.search(lower) else PLAIN_PIECE.findall(lower) if not lower.translate(None, PLAIN) else PIECE.findall(text if apart else lower)
-            ids = list(map(self.known.young.get, pieces or ()))
-            if None in ids:
-                new.update(p for p, i in zip(pieces, ids, strict=True) if i is None)
-            cut.append(pieces)
-            found.append(ids)
-        self.learn(self.known.missing(new))
-        for text, pieces, ids in zip(texts, cut, found, strict=True):
-            if pieces is None:
-                yield self.whole([text])[0]
+            if self.added.search(lower):
+                cut.append(None)
+            elif lower.translate(None, PLAIN):
+                cut.append(PIECE.findall(text if apart else lower))
             else:
-                yield np.frombuffer(b"".join(ids if None not in ids else map(self.known.young.__getitem__, pieces)), "<u4")
+                plain.append(lower)
+                cut.append(plain)
+        pieces_of, known = plain_pieces(plain), self.known.young.get
+        cut = [next(pieces_of) if x is plain else x for x in cut]
+        found = [list(map(known, pieces or ())) for pieces in cut]
+        gaps = [[k for k, i in enumerate(ids) if i is None] for ids in found]
+        for pieces, gap in zip(cut, gaps, strict=True):
+            new.update([pieces[k] for k in gap])
+        self.learn(self.known.missing(new))
+        for text, pieces, ids, gap in zip(texts, cut, found, gaps, strict=True):
+            for k in gap:
+                ids[k] = self.known.young[pieces[k]]
+            yield self.whole([text])[0] if pieces is None else np.frombuffer(b"".join(ids), "<u4")
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, new: list[bytes]) -> None:
-        others = [p for p in new if not SIMPLE.fullmatch(p)]
-        self.learn_words(list(set(new).difference(others)))
+        normal = [p for p in new if NORMAL.fullmatch(p)]
+        others = list(set(new).difference(normal))
+        simple = [p for p in others if SIMPLE.fullmatch(p)]
+        self.learn_words(normal, self.at_spaces)
+        self.learn_words(simple, self.tokenizer)
+        others = list(set(others).difference(simple))
         for start in range(0, len(others), 10_000):
             some = others[start : start + 10_000]
             self.known.young.update((p, ids.tobytes()) for p, ids in zip(some, self.whole(some), strict=True))
 
-    def learn_words(self, new: list[bytes]) -> None:
+    def learn_words(self, new: list[bytes], tokenizer) -> None:  # noqa: ANN001
         groups = [new[start : start + 500] for start in range(0, len(new), 500)]
         for start in range(0, len(groups), 20):
             some = groups[start : start + 20]
-            found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in some], add_special_tokens=False)
+            found = tokenizer.encode_batch_fast([b" ".join(g).decode() for g in some], add_special_tokens=False)
             for group, e in zip(some, found, strict=True):
                 ids = np.array(e.ids, "<u4")
                 stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()

@@ -228,3 +228,12 @@ def test_control_characters_go_with_the_marks_beside_them():
     tokenizer = Tokenizer.from_file(WORD_BPE)
     texts = [f"{left}{chr(c)}{right}" for c in (*range(0x20), 0x7F) for left in ("", "<", "a", "9", "a.") for right in ("", "<", "a", "9", " b")]
     assert [x.tolist() for x in token_files.encoder(WORD_BPE).encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aé9.,!ß \n\x0b|"), max_size=25), max_size=4))
+def test_plain_texts_are_cut_by_spaces(texts):
+    """A run of letters, a digit or a run of marks is a piece, as the pattern that found them one by one gave."""
+    pieces = re.compile(rb"[A-Za-z\x80-\xff]++|[!-/:-@\[-`{-~]++|[^\s]")
+    texts = [t.encode() for t in texts]
+    assert list(token_files.plain_pieces(texts))[: len(texts)] == [pieces.findall(t) for t in texts]
