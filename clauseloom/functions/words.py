@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -27,7 +28,8 @@ STOP_WORDS = tuple(
 STOP_WORDS = tuple(sorted(set(STOP_WORDS) - {"could", "would", "ought", "cannot"}))
 LEAST_LETTERS = 3
 
-ALWAYS_SPLIT = r"[;?!@#$%&*\"“”«»()\[\]{}<>`]|--"
+#: Besides two hyphens.
+ALWAYS_SPLIT = ";?!@#$%&*\"“”«»()[]{}<>`"
 COMMA_SPLIT = r"[,:]+([^\p{Nd},:]|\z)"
 CONTRACTION = r"(?i)(\p{L})(n['’]t|['’](?:s|ll|re|ve|m|d))\b"
 JOINED = r"(?i)(?=[cglw])\b(?:(can)(not)|(gon)(na)|(gim)(me)|(lem)(me)|(got)(ta)|(wan)(na))\b"
@@ -38,17 +40,22 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def marks_apart(text: Column | str) -> Column:
+    """Text with white space where the treebank rules split at marks, quotes and contractions."""
+    out = F.translate(F.col(text) if isinstance(text, str) else text, ALWAYS_SPLIT, " " * len(ALWAYS_SPLIT))
+    out = F.replace(out, F.lit("--"), F.lit(" "))
+    out = replace(out, COMMA_SPLIT, " $1")
+    out = F.when(out.rlike("['’]"), replace(out, CONTRACTION, "$1 $2")).otherwise(out)
+    return replace(out, JOINED, "$1$3$5$7$9$11 $2$4$6$8$10$12")
+
+
 def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIONS, ends: Column | None = None) -> Column:
     """Tokens in order, cut by the usual treebank rules.
 
     Marks and quotes split, as do contractions; hyphens, slashes and inner periods don't. A token's last
     period goes, unless the token is an abbreviation inside the text; ``ends`` tells where a line is the last one of its text.
     """
-    out = replace(text, ALWAYS_SPLIT, " ")
-    out = replace(out, COMMA_SPLIT, " $1")
-    out = F.when(out.rlike("['’]"), replace(out, CONTRACTION, "$1 $2")).otherwise(out)
-    out = replace(out, JOINED, "$1$3$5$7$9$11 $2$4$6$8$10$12")
-    tokens = F.filter(F.split(out, rf"[{WS}]+", -1), lambda t: t != "")
+    tokens = F.filter(F.split(marks_apart(text), rf"[{WS}]+", -1), lambda t: t != "")
     listed = F.array(*map(F.lit, (f"{a}." for a in abbreviations)))
     bare = lambda t: F.ltrim(F.rtrim(F.rtrim(t, F.lit("'’")), F.lit(".")), F.lit("'‘’"))
 
@@ -60,10 +67,23 @@ def word_tokens(text: Column | str, abbreviations: tuple[str, ...] = ABBREVIATIO
     return bound(tokens, cut)
 
 
-def key_words(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, ends: Column | None = None) -> Column:
+def letter_words(text: Column, abbreviations: tuple[str, ...], last: bool) -> Column:
+    """Of the tokens that :func:`word_tokens` cuts ``text`` (:func:`marks_apart`) into those of ``LEAST_LETTERS`` letters or more, by one pattern.
+
+    These are letters with quotes around them and periods behind. ``last`` tells that the text's last token is an abbreviation no more.
+    """
+    names = "|".join(re.escape(a) for a in abbreviations)
+    kept = rf"(?:(?!\.)|(?!(?<=(?<![^{WS}])(?i:{names}))\.{f'[{WS}]+[^{WS}]' if last else f'(?![^{WS}])'}))" if names else ""
+    word = rf"(?<![^{WS}])['‘’]*+(\p{{L}}{{{LEAST_LETTERS},}}+){kept}\.*+['’]*+(?![^{WS}])"
+    return F.regexp_extract_all(text, F.lit(word), F.lit(1))
+
+
+def key_words(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, ends: Column | None = None, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
     """Lower-cased tokens of three letters or more, without stop words, in order."""
-    letters = F.filter(word_tokens(text, ends=ends), lambda t: t.rlike(rf"^\p{{L}}{{{LEAST_LETTERS},}}\z"))
-    lower = F.transform(letters, lambda t: F.lower(t))
+    found = letter_words(marks_apart(text), abbreviations, last=True)
+    if ends is not None:
+        found = F.when(ends, found).otherwise(letter_words(marks_apart(text), abbreviations, last=False))
+    lower = F.transform(found, lambda t: F.lower(t))
     return F.filter(lower, lambda t: ~t.isin(*stop_words)) if stop_words else lower
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.sentences import context
 from clauseloom.functions.text import BLANKS, WS, clean_text, is_blank, strip
-from clauseloom.functions.words import STOP_WORDS, key_words
+from clauseloom.functions.words import STOP_WORDS, key_words, letter_words, marks_apart, word_tokens
 from clauseloom.operators.keywords import with_keywords
 from clauseloom.operators.lines import VETOES, classify, explode_lines
 from clauseloom.plans.parse import classified_lines, parse_documents, segment_documents
@@ -252,3 +252,18 @@ def test_words_are_counted_inside_a_row(spark):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     for r in got.select("keywords", key_words("text").alias("w")).collect():
         assert r.keywords == sorted(dict.fromkeys(r.w), key=lambda w: (-r.w.count(w), r.w.index(w)))[:3]
+
+
+def test_key_words_by_one_pattern(spark):
+    """As all tokens cut first, and those of letters kept, give."""
+    parts = ["etc.", "Prof.", "'etc.", "etc.'", "etc..", "Mrs", "abc", "ab", "a-b", "x--yzz", "isn't", "‘Haus’", "don’t", "cannot", "Straße.'", "no.'.'", "7up", "ÉTÉ,", "\U0001d400bcd", "a bcd", "(inc.)", "ΟΔΟΣ", "\n", "...", "''"]
+    texts = ["", *parts, *(f"{a}{gap}{b}{end}" for a in parts for b in parts for gap in (" ", "", " \t") for end in ("", " ", "."))]
+    rows = spark.createDataFrame([(t, e) for t in texts for e in (True, False)], "text string, last boolean")
+
+    def plainly(ends):
+        letters = F.filter(word_tokens("text", ends=ends), lambda t: t.rlike(r"^\p{L}{3,}\z"))
+        return F.filter(F.transform(letters, lambda t: F.lower(t)), lambda t: ~t.isin(*STOP_WORDS))
+
+    for ends in (None, F.col("last")):
+        assert rows.where(~key_words("text", ends=ends).eqNullSafe(plainly(ends))).count() == 0
+    assert spark.range(1).select(letter_words(marks_apart(F.lit("the etc. and Inc.")), ("etc", "inc"), True)).first()[0] == ["the", "and", "Inc"]
