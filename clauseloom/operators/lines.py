@@ -27,9 +27,9 @@ TITLE_WORDS, NOISE_CHARS = 7, 20
 VETOES = ("fake", "lowercase_title", "year", "bad_first_char", "long_title", "colon_end", "bare_integer", "noise")
 
 
-def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, stripped) for the lines that aren't blank; numbers count blank ones too, from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+def explode_lines(docs: DataFrame, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, line_no, line, stripped) for the lines that aren't blank, and the columns ``carried``; numbers count blank lines too, from 0."""
+    lines = docs.select("doc_id", *carried, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
     return lines.withColumn("stripped", strip("line")).where("stripped <> ''")
 
 

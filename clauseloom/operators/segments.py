@@ -19,12 +19,12 @@ def level(of: Column) -> Column:
     return F.when(of == 1, "clause").when(of == 2, "sub-clause").otherwise("sub-sub-clause")
 
 
-def group_lines(lines: DataFrame) -> DataFrame:
+def group_lines(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Segments (doc_id, seg_no, clause_id, title, text, depth, level, first_line) from classified lines.
 
     A heading opens a group. A group of other lines alone stands for a preamble if it has a body line,
     else it is dropped; headings without any line below are dropped too. ``seg_no`` counts from 1 in
-    document order.
+    document order. ``carried`` names columns that are the same in all lines of a document; its segments have them too.
     """
     by_line = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     grouped = lines.withColumn("grp", F.sum((F.col("kind") == "heading").cast("int")).over(by_line))
@@ -36,20 +36,21 @@ def group_lines(lines: DataFrame) -> DataFrame:
         F.min(F.when(body, F.struct("line_no", "stripped"))).alias("first_body"),
         F.min(F.when(text, F.col("line_no"))).alias("first_line"),
         F.array_sort(F.collect_list(F.when(text, F.struct("line_no", "stripped")))).alias("lines"),
+        *[F.first(c).alias(c) for c in carried],
     )
-    segments = named_groups(segments.withColumn("text", F.array_join(F.col("lines.stripped"), "\n")))
+    segments = named_groups(segments.withColumn("text", F.array_join(F.col("lines.stripped"), "\n")), carried)
     seg_no = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp"))
     segments = segments.withColumns({"seg_no": seg_no, "depth": depth(F.col("clause_id"))})
-    return segments.withColumn("level", level(F.col("depth"))).select("doc_id", "seg_no", "clause_id", "level", "depth", "title", "text", "first_line")
+    return segments.withColumn("level", level(F.col("depth"))).select("doc_id", "seg_no", "clause_id", "level", "depth", "title", "text", "first_line", *carried)
 
 
-def named_groups(groups: DataFrame) -> DataFrame:
-    """(doc_id, grp, first_line, clause_id, title, text) of the groups that are segments."""
+def named_groups(groups: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, grp, first_line, clause_id, title, text) of the groups that are segments, and the columns ``carried``."""
     groups = groups.where(F.when(F.col("grp") == 0, F.col("first_body").isNotNull()).otherwise(F.col("n_lines") > 0))
     head = F.col("grp") > 0
     clause_id = F.when(head, F.col("heading_id")).otherwise(F.concat(F.lit("PREAMBLE-"), F.col("first_body.line_no")))
     title = F.when(head, F.col("title")).otherwise(strip(F.substring("first_body.stripped", 1, PREAMBLE_TITLE)))
-    return groups.select("doc_id", "grp", "first_line", clause_id.alias("clause_id"), title.alias("title"), "text")
+    return groups.select("doc_id", "grp", "first_line", clause_id.alias("clause_id"), title.alias("title"), "text", *carried)
 
 
 def _places(of: Column, asks: bool) -> Column:

@@ -33,15 +33,15 @@ def segment_documents(docs: DataFrame) -> DataFrame:
 def parse_documents(docs: DataFrame, top_n: int = TOP, stop_words: tuple[str, ...] = STOP_WORDS, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
     """(doc_id, seg_no, file_name, clause_id, level, title, text, parent_clause, keywords, context).
 
-    ``docs`` has doc_id (one per document), file_name and text. All steps after the lines' classification
-    are keyed by doc_id, so one shuffle carries them; nothing runs in Python.
+    ``docs`` has doc_id (one per document), file_name and text. All steps are keyed by doc_id, so one shuffle carries
+    them, that of :func:`clauseloom.sources.documents.spread` where the documents come from there; nothing runs in Python.
     """
     named = F.coalesce(F.col("file_name"), F.lit(""))
     # the name travels on each document's lines, so no join is needed
-    lines = explode_lines(docs.select("doc_id", F.struct("doc_id", named.alias("file_name")).alias("doc"), clean_text("text").alias("text")).withColumn("doc_id", F.col("doc")).drop("doc"))
-    segments = with_parents(group_lines(classify(lines)))
+    lines = explode_lines(docs.select("doc_id", named.alias("file_name"), clean_text("text").alias("text")), carried=("file_name",))
+    segments = with_parents(group_lines(classify(lines), carried=("file_name",)))
     segments = with_keywords(segments, top_n, stop_words).withColumn("context", context("text", abbreviations=abbreviations))
-    return segments.select(F.col("doc_id.doc_id").alias("doc_id"), "seg_no", F.col("doc_id.file_name").alias("file_name"), "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
+    return segments.select("doc_id", "seg_no", "file_name", "clause_id", "level", "title", "text", "parent_clause", "keywords", "context")
 
 
 def parse_files(spark: SparkSession, path: str, top_n: int = TOP, stop_words: tuple[str, ...] = STOP_WORDS, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
