@@ -24,7 +24,7 @@ def test_partitions_grow_with_the_table(spark, sf_dir, monkeypatch):
     assert io.spread(docs).rdd.getNumPartitions() > 20
 
 
-@pytest.mark.parametrize("query", [queries.document_envelope, queries.segments_json])
+@pytest.mark.parametrize("query", [queries.document_envelope, queries.segments_json, queries.envelope_parts])
 def test_texts_are_moved_once(spark, sf_dir, query):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
