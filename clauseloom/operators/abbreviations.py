@@ -91,12 +91,14 @@ def with_context(segments: DataFrame, types: DataFrame, sentences: int = 2) -> D
     rows = rows.withColumns({"last": F.when(F.size(tokens("piece")) > 0, bare(last)), "first": F.when(F.size(tokens("piece")) > 0, replace(bare(first), r"\.\z", ""))})
     after = Window.partitionBy(*keys).orderBy("i")
     rows = rows.withColumns({"next": F.lead("first").over(after), "next_piece": F.lead("piece").over(after)})
+    # most pieces ask for nothing: by one key for all of them they would come together in one task; no type has a space
+    nothing = F.concat(F.lit(" "), F.xxhash64(*keys, "i"))
     asked = F.when(has_period(F.col("last")), type_of(F.col("last")))
     found = types.where("abbreviation").select(F.col("type").alias("asked"), F.lit(True).alias("short"))
-    rows = rows.withColumn("asked", asked).join(found, "asked", "left").withColumn("short", F.coalesce("short", F.lit(False)))
+    rows = rows.withColumn("asked", F.coalesce(asked, nothing)).join(found, "asked", "left").withColumn("short", F.coalesce("short", F.lit(False)))
     spelt = types.where("small > 0 and capital_inside = 0").select(F.col("type").alias("follows"), F.lit(True).alias("new"))
     follows = F.when(F.col("short") & F.substring("next", 1, 1).rlike(r"\p{IsUppercase}"), F.lower("next"))
-    rows = rows.withColumn("follows", follows).join(spelt, "follows", "left")
+    rows = rows.withColumn("follows", F.coalesce(follows, nothing)).join(spelt, "follows", "left")
     initial, number = F.col("piece").rlike(INITIAL), F.col("piece").rlike(NUMBER) & F.coalesce(F.col("next_piece").rlike(rf"^[{WS}]*\p{{IsLowercase}}"), F.lit(False))
     goes_on = (F.col("short") & F.col("new").isNull()) | initial | number
     before = after.rowsBetween(Window.unboundedPreceding, -1)

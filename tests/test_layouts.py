@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
+from clauseloom.plans.parse import grouped_documents
 from clauseloom.sources import documents as io
 from tests.test_large_documents import small_splits  # noqa: F401
 
@@ -33,3 +35,19 @@ def test_texts_are_moved_once(spark, sf_dir, query):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # every exchange is that of the documents themselves
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_pieces_that_ask_for_no_type_have_keys_of_their_own(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "1 A\nOne etc. Two. Three."), (2, "1 B\nFour five.")], "doc_id long, text string")
+    types = spark.createDataFrame([("etc", True, 0, 0)], "type string, abbreviation boolean, small long, capital_inside long")
+    segments, seen, join = grouped_documents(docs), {}, type(docs).join
+
+    def watched(left, right, on=None, how=None):
+        if on in ("asked", "follows"):
+            seen[on] = left.select(F.col(on)).collect()
+        return join(left, right, on, how)
+
+    monkeypatch.setattr(type(docs), "join", watched)
+    found = with_context(segments, types).orderBy("doc_id").collect()
+    assert [r.context for r in found] == ["One etc. Two. Three.", "Four five."]
+    assert set(seen) == {"asked", "follows"} and all(len(set(keys)) == len(keys) == 4 and (None,) not in keys for keys in seen.values())
