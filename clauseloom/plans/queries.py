@@ -116,7 +116,7 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark)
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/documents.parquet*")
-    segment_stream(rendered(stream), f"{out}/out", f"{out}/state").awaitTermination()
+    segment_stream(stream, f"{out}/out", f"{out}/state", lambda batch: io.check_requests(rendered(batch))).awaitTermination()
     return spark.read.parquet(f"{out}/out/segments").select(*CORE)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from clauseloom.plans.parse import parse_documents
-from clauseloom.sources.documents import check_requests, routed
+from clauseloom.sources.documents import check_requests, routed, spread
 
 
 def segment_stream(docs: DataFrame, out: str, checkpoint: str, check=check_requests, form: str = "parquet", **trigger: object) -> StreamingQuery:  # noqa: ANN001
@@ -17,7 +17,7 @@ def segment_stream(docs: DataFrame, out: str, checkpoint: str, check=check_reque
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        accepted, rejects = routed(check(batch))
+        accepted, rejects = routed(check(spread(batch)))
         parse_documents(accepted).write.mode("overwrite").format(form).save(f"{out}/segments/batch={number}")
         rejects.write.mode("overwrite").format(form).save(f"{out}/rejects/batch={number}")
 

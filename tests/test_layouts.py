@@ -7,6 +7,7 @@ from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
 from clauseloom.plans.parse import grouped_documents
 from clauseloom.sources import documents as io
+from clauseloom.streaming.segments import segment_stream
 from tests.test_large_documents import small_splits  # noqa: F401
 
 
@@ -51,3 +52,17 @@ def test_pieces_that_ask_for_no_type_have_keys_of_their_own(spark, monkeypatch):
     found = with_context(segments, types).orderBy("doc_id").collect()
     assert [r.context for r in found] == ["One etc. Two. Three.", "Four five."]
     assert set(seen) == {"asked", "follows"} and all(len(set(keys)) == len(keys) == 4 and (None,) not in keys for keys in seen.values())
+
+
+def test_a_batch_of_a_stream_is_dealt_out_before_it_is_checked(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "1 A\nb"), (2, "b", "- x")], "doc_id long, file_name string, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def check(batch):
+        seen.append(batch._jdf.queryExecution().executedPlan().toString())
+        return io.check_requests(batch)
+
+    stream = spark.readStream.schema("doc_id long, file_name string, text string").parquet(str(tmp_path / "in"))
+    segment_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), check).awaitTermination()
+    assert seen and all("Exchange hashpartitioning(doc_id" in plan for plan in seen)
+    assert spark.read.parquet(str(tmp_path / "out/segments")).count() == 1
