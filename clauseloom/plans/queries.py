@@ -130,7 +130,7 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files, some with another ending, blank, or with bytes that aren't UTF-8, read as bytes and checked; status 200 for those accepted."""
-    docs, r = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), F.col("doc_id") % 7
+    docs, r = io.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), F.col("doc_id") % 7
     bad = F.when(r == 3, "E282").when(r == 5, "C0AF").when(r == 6, "EDA080").otherwise("")  # cut short, overlong, half a pair
     text = F.when(F.col("doc_id") % 6 == 2, F.lit(" \n\t ")).otherwise(F.coalesce("text", F.lit("")))
     name = F.concat(F.lit("né+ "), "doc_id", F.when(F.col("doc_id") % 5 == 1, ".docx").otherwise(".TXT"))

@@ -66,3 +66,15 @@ def test_a_batch_of_a_stream_is_dealt_out_before_it_is_checked(spark, tmp_path):
     segment_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), check).awaitTermination()
     assert seen and all("Exchange hashpartitioning(doc_id" in plan for plan in seen)
     assert spark.read.parquet(str(tmp_path / "out/segments")).count() == 1
+
+
+def test_files_are_written_by_tasks_of_equal_work(spark, sf_dir, monkeypatch):
+    plans, write = [], queries.write_files
+
+    def watched(rows, *args):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, *args)
+
+    monkeypatch.setattr(queries, "write_files", watched)
+    assert queries.file_checks(spark, sf_dir).count() == 200
+    assert all("Exchange hashpartitioning(doc_id" in plan for plan in plans) and plans
