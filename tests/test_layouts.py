@@ -78,3 +78,15 @@ def test_files_are_written_by_tasks_of_equal_work(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "write_files", watched)
     assert queries.file_checks(spark, sf_dir).count() == 200
     assert all("Exchange hashpartitioning(doc_id" in plan for plan in plans) and plans
+
+
+def test_folders_of_any_name_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "PART_BYTES", 1 << 9)
+    for name in ("a b%20é", "x[1]{2}"):
+        path = str(tmp_path / name)
+        spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1).write.parquet(path)
+        read = spark.read.parquet(path.replace("[", "\\[").replace("{", "\\{"))
+        docs = io.spread(read.select("doc_id", "text"))
+        assert docs.count() == 100 and 1 < docs.rdd.getNumPartitions() < 20
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none"))
+    assert io.spread(spark.read.parquet(str(tmp_path / "none"))).count() == 0
