@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clauseloom.llm.common import table
+from clauseloom.llm.queries import op1_main_text
 from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
 from clauseloom.plans.parse import grouped_documents
@@ -90,3 +92,19 @@ def test_folders_of_any_name_are_dealt_out(spark, tmp_path, monkeypatch):
         assert docs.count() == 100 and 1 < docs.rdd.getNumPartitions() < 20
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none"))
     assert io.spread(spark.read.parquet(str(tmp_path / "none"))).count() == 0
+
+
+def test_tables_without_documents_are_dealt_out_by_rows(spark, sf_dir, tmp_path, small_splits):  # noqa: F811
+    """Before, every table was dealt out by doc_id, which pages, conversations and embeddings don't have."""
+    for name in ("pages", "conversations", "embeddings"):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        held = table(spark, sf_dir, name)
+        assert sorted(held.rdd.map(repr).collect()) == sorted(rows.rdd.map(repr).collect())
+    # rows without a key don't come together
+    spark.range(2000).select(F.lit(None).cast("long").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.lit("<p>x").alias("html")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    held = table(spark, str(tmp_path), "pages").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert held.sum() == 2000 and held.max() < 1000
+
+
+def test_op1_of_the_table(spark, sf_dir):
+    assert op1_main_text(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
