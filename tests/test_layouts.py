@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import table
-from clauseloom.llm.queries import op1_main_text
+from clauseloom.llm.forest import usable
+from clauseloom.llm.queries import op1_main_text, op6_hash_forest
 from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
 from clauseloom.plans.parse import grouped_documents
@@ -108,3 +109,9 @@ def test_tables_without_documents_are_dealt_out_by_rows(spark, sf_dir, tmp_path,
 
 def test_op1_of_the_table(spark, sf_dir):
     assert op1_main_text(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+
+
+def test_vectors_are_dealt_out_by_the_id_they_are_grouped_by(spark, sf_dir):
+    plan = usable(table(spark, sf_dir, "embeddings", "vec_id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert op6_hash_forest(spark, sf_dir).groupBy("query_id").count().where("count = 20").count() == 25
