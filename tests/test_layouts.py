@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import table
 from clauseloom.llm.forest import usable
-from clauseloom.llm.queries import op1_main_text, op6_hash_forest
+from clauseloom.llm.queries import op1_main_text, op6_hash_forest, op8_format_chats
 from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
 from clauseloom.plans.parse import grouped_documents
@@ -115,3 +115,9 @@ def test_vectors_are_dealt_out_by_the_id_they_are_grouped_by(spark, sf_dir):
     plan = usable(table(spark, sf_dir, "embeddings", "vec_id"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
     assert op6_hash_forest(spark, sf_dir).groupBy("query_id").count().where("count = 20").count() == 25
+
+
+def test_turns_are_moved_once(spark, sf_dir):
+    found = op8_format_chats(spark, sf_dir)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert found.where("conv_id >= 0").count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
