@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import table
 from clauseloom.llm.forest import usable
-from clauseloom.llm.queries import op1_main_text, op6_hash_forest, op8_format_chats
+from clauseloom.llm.queries import op1_main_text, op6_hash_forest, op8_format_chats, op11_prefix_trie
 from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
 from clauseloom.plans.parse import grouped_documents
@@ -121,3 +121,8 @@ def test_turns_are_moved_once(spark, sf_dir):
     found = op8_format_chats(spark, sf_dir)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert found.where("conv_id >= 0").count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+
+
+def test_op11_of_the_table(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null").select("conv_id").distinct().count()
+    assert op11_prefix_trie(spark, sf_dir).where("depth = 0").first().n_convs == conversations
