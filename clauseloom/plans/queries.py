@@ -16,7 +16,7 @@ from clauseloom.plans.parse import classified_lines, grouped_documents, parse_do
 from clauseloom.sources import documents as io
 from clauseloom.sources.corpus import policies, rendered
 from clauseloom.sources.lines import read_lines
-from clauseloom.sources.named_files import settled_names, write_files
+from clauseloom.sources.named_files import read_files, settled_names, write_files
 from clauseloom.sources.storage import new_folder, written
 from clauseloom.streaming.requests import published, request_stream
 from clauseloom.streaming.segments import segment_stream
@@ -122,10 +122,10 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's segments in a JSON file of its own, under a chosen name that several documents share; the files as they are read back."""
-    docs, out = policies(spark, sf_dir), new_folder(spark)
+    docs, out, lists = policies(spark, sf_dir), new_folder(spark), new_folder(spark)
     chosen = F.concat(F.lit("policy "), F.col("doc_id") % 250, F.lit(".json"))
-    write_files(settled_names(io.documents_json(io.envelopes(docs, parse_documents(docs)), chosen)), out)
-    return io.read_documents(spark, out).select("file_name", F.col("text").alias("json"))
+    write_files(settled_names(io.documents_json(io.envelopes(docs, parse_documents(docs)), chosen)), out, lists=lists)
+    return read_files(spark, out, lists).select("file_name", F.col("content").cast("string").alias("json"))
 
 
 def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

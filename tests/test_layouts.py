@@ -1,5 +1,7 @@
 """How work is dealt out to tasks, whatever the layout of a table and however common a key."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from clauseloom.operators.abbreviations import with_context
 from clauseloom.plans import queries
 from clauseloom.plans.parse import grouped_documents
 from clauseloom.sources import documents as io
+from clauseloom.sources import named_files
 from clauseloom.streaming.segments import segment_stream
 from tests.test_large_documents import small_splits  # noqa: F401
 
@@ -126,3 +129,22 @@ def test_turns_are_moved_once(spark, sf_dir):
 def test_op11_of_the_table(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null").select("conv_id").distinct().count()
     assert op11_prefix_trie(spark, sf_dir).where("depth = 0").first().n_convs == conversations
+
+
+def test_named_files_are_read_back_without_a_listing(spark, tmp_path, monkeypatch):
+    """Before, Spark's reader of whole texts held every file's name in the driver, and gave 32 files to a task."""
+    monkeypatch.setattr(named_files, "FILES", 20)
+    monkeypatch.setattr(named_files, "AT_ONCE", 64)
+    out, lists = str(tmp_path / "out"), str(tmp_path / "lists")
+    rows = [(i, f"a b%20é/{i}\n.json" if i % 2 else f"{i}.json", f"[{i}é]".encode()) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, name string, content binary")
+    for _ in range(2):  # names that are written again count once
+        named_files.write_files(frame, out, "name", "content", lists)
+    (tmp_path / "lists/_temporary").mkdir()
+    (tmp_path / "lists/_temporary/lost.json").write_text(json.dumps({"place": "none"}))
+    found = named_files.read_files(spark, out, lists)
+    assert all("/lists/" in f for f in found.inputFiles())
+    assert found.rdd.getNumPartitions() >= 50
+    assert sorted(map(tuple, found.collect())) == sorted((n.rpartition("/")[2], c) for _, n, c in rows)
+    named_files.write_files(frame.limit(0), str(tmp_path / "none"), "name", "content", str(tmp_path / "no"))
+    assert named_files.read_files(spark, str(tmp_path / "none"), str(tmp_path / "no")).count() == 0
