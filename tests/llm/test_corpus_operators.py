@@ -564,3 +564,87 @@ def test_counts_leave_out_no_similar_text():
     for small in (3, 1000):
         found = [(int(a), int(b)) for i, j in near_copies.Bucket(rows, 8, 0.8).links(False, small) for a, b in zip(i, j, strict=True)]
         assert alike and alike <= set(found) and len(found) == len(set(found)) < len(sets) * (len(sets) - 1) / 2
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_passages_between_windows_of_other_passages(spark, monkeypatch, block):
+    """Families that share a line of 40 words with others: each window has windows of other families on both sides, in both orders."""
+    monkeypatch.setattr(passages, "FUNCTIONS", 1)
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    texts, wanted = {}, {}
+    for _ in range(6):
+        line = words(40)
+        while not (14 <= (h := passages.hashed(passages.shingles(" ".join(line)), 0)).argmin() < 22 and h.min() < 2**64 // 400):
+            line = words(40)
+        ids = [len(texts) + k for k in range(9)]
+        own = {f: (words(8), words(8)) for f in range(3)}
+        for i in ids:
+            before, behind = own[i % 3]
+            fill = words(rng.randint(60, 90))
+            texts[i] = fill + before + line + behind + words(rng.randint(60, 90))
+            wanted[i] = (ids[i % 3 - ids[0] % 3], [(len(fill), len(fill) + 56)])
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, [(p.start, p.stop) for p in r.passages]) for r in passages.repeated_passages(frame).collect()} == wanted
+
+
+def test_compared_windows_add_what_all_pairs_add():
+    rng = random.Random(11)
+    draw = lambda n: [rng.randrange(1 << 32) for _ in range(n)]
+    for _ in range(30):
+        shared = [draw(80) for _ in range(3)]
+        own, doc = [], []
+        for _ in range(rng.randint(2, 40)):
+            x = list(rng.choice(shared))
+            for k in rng.sample(range(80), rng.randint(0, 12)):
+                x[k] = rng.randrange(1 << 32)
+            low, high = rng.randint(0, 30), rng.randint(50, 80)
+            own.append(np.array(draw(rng.randint(0, 60)) + x[low:high] + rng.choice([[], shared[0][:20]]) + draw(rng.randint(0, 60)), np.uint32))
+            doc.append(rng.randrange(15))
+        for side in (np.zeros(len(own), int), np.arange(len(own)) % 2):
+            marked, edges = [[set() for _ in own] for _ in range(2)], [set(), set()]
+            for i, j in itertools.combinations(range(len(own)), 2):
+                if doc[i] != doc[j] and (side.max() == 0 or side[i] != side[j]) and (mine := passages.covered(own[i], own[j])) and (theirs := passages.covered(own[j], own[i])):
+                    for x, spans in ((i, mine), (j, theirs)):
+                        marked[0][x] |= {k for span in spans for k in range(*span)}
+                    edges[0].add((doc[i], doc[j]))
+            for i, j, mine, theirs in passages.compared(own, np.array(doc), side):
+                for x, spans in ((i, mine), (j, theirs)):
+                    marked[1][x] |= {k for span in spans for k in range(*span)}
+                edges[1].add((doc[i], doc[j]))
+            assert marked[0] == marked[1]
+            roots = []
+            for found in edges:
+                root = {d: d for d in doc}
+                for _ in root:
+                    for a, b in found:
+                        root[a] = root[b] = min(root[a], root[b])
+                roots.append(root)
+            assert roots[0] == roots[1]
+
+
+def test_equal_windows_meet_another_document():
+    rng = random.Random(12)
+    for _ in range(300):
+        rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(4)) for _ in range(rng.randint(0, 40)))  # key, body, document
+        key, body, doc = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        partner, stands = passages.equals(key, doc, body)
+        groups = {}
+        for i, (k, b, d) in enumerate(rows):
+            groups.setdefault((k, b), []).append((i, d))
+        for members in groups.values():
+            docs = sorted({d for _, d in members})
+            for i, d in members:
+                p = int(partner[i])
+                assert (p < 0) == (len(docs) == 1)
+                assert p < 0 or (rows[p][:2] == rows[i][:2] and rows[p][2] != d)
+            standing = [d for i, d in members if stands[i]]
+            assert len(standing) == len(members) if len(docs) == 1 else standing == docs[:2]
+            # what is linked is connected
+            root = {d: d for d in docs}
+            for _ in docs:
+                for i, d in members:
+                    if partner[i] >= 0:
+                        root[d] = root[rows[partner[i]][2]] = min(root[d], root[rows[partner[i]][2]])
+            assert len(set(root.values())) == 1
